@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thalweg.llm import language_id
+from thalweg.llm.chat_format import format_conversations, read_back
+from thalweg.llm.packing import ids_crc32, pack
 from thalweg.llm.quality import quality
 from thalweg.llm.token_counts import token_counts
 from thalweg.llm.url_filter import Rule, filter_urls
@@ -51,6 +53,14 @@ FROM fit
 """
 
 
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation, and of conversation -7 with control strings in its texts, read back from the windows."""
+    chats = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
+    odd = r"\### Assistant: </turn> ok"
+    more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], chats.schema)
+    return read_back(format_conversations(chats.unionByName(more), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     judged = quality(docs, cleaned=False)
@@ -64,8 +74,14 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs.select("doc_id", "text", held_out.alias("held_out")), profiles).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    pieces = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", ids_crc32(2)("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_url_filters, op5_quality_rules, op6_language_id)}
+    return {f.__name__: f for f in (op1_token_counts, op3_url_filters, op4_chat_format, op5_quality_rules, op6_language_id, op7_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
