@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from thalweg.llm import language_id
 from thalweg.llm.chat_format import format_conversations, read_back
+from thalweg.llm.mixing import mix
 from thalweg.llm.packing import ids_crc32, pack
 from thalweg.llm.quality import quality
 from thalweg.llm.token_counts import token_counts
@@ -26,6 +27,11 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "source", "text")
+    return mix(docs).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
     return filter_urls(pages, URL_RULES, BLOCKED_GLOBS).select("page_id", "host", "path", "rule", "verdict")
@@ -81,7 +87,7 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op3_url_filters, op4_chat_format, op5_quality_rules, op6_language_id, op7_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_url_filters, op4_chat_format, op5_quality_rules, op6_language_id, op7_packing)}
 
 
 def oracle_sql() -> dict[str, str]:
