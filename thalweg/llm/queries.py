@@ -9,12 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from thalweg.llm import language_id
+from thalweg.llm.ann import nearest
 from thalweg.llm.chat_format import format_conversations, read_back
 from thalweg.llm.mixing import mix
 from thalweg.llm.packing import ids_crc32, pack
 from thalweg.llm.quality import quality
 from thalweg.llm.token_counts import token_counts
 from thalweg.llm.url_filter import Rule, filter_urls
+from thalweg.llm.warc import read_records, write_archives
 
 #: op3: the rules, and the globs that block where no rule fits.
 URL_RULES = (Rule("allow", "com"), Rule("block", "example.com", "/en/"), Rule("allow", "www.example.com", "/en/"), Rule("block", "net", "/es/"), Rule("block", "net", "/fr/"))
@@ -86,9 +88,28 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", ids_crc32(2)("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return read_records(write_archives(pages), payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP8_SQL = """
+WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS body FROM pages),
+d AS (SELECT page_id, octet_length(body) AS payload_bytes, lower(sha1(body)) AS payload_digest FROM p),
+w AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest) ELSE page_id END AS kept FROM d)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN kept = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN kept <> page_id THEN kept END AS refers_to
+FROM w
+"""
+
+
+def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_url_filters, op4_chat_format, op5_quality_rules, op6_language_id, op7_packing)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_url_filters, op4_chat_format, op5_quality_rules, op6_language_id, op7_packing, op8_warc, op9_nearest_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": OP3_SQL}
+    return {"op3_url_filters": OP3_SQL, "op8_warc": OP8_SQL}
