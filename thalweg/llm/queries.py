@@ -12,6 +12,7 @@ from thalweg.llm import language_id
 from thalweg.llm.ann import nearest
 from thalweg.llm.chat_format import format_conversations, read_back
 from thalweg.llm.mixing import mix
+from thalweg.llm.near_dedup import near_duplicates
 from thalweg.llm.packing import ids_crc32, pack
 from thalweg.llm.quality import quality
 from thalweg.llm.token_counts import token_counts
@@ -107,8 +108,12 @@ def op9_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 50 == 0)
 
 
+def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_url_filters, op4_chat_format, op5_quality_rules, op6_language_id, op7_packing, op8_warc, op9_nearest_neighbours)}
+    return {f.__name__: f for f in (op1_token_counts, op2_mixing, op3_url_filters, op4_chat_format, op5_quality_rules, op6_language_id, op7_packing, op8_warc, op9_nearest_neighbours, op10_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
