@@ -1,17 +1,80 @@
-"""The corpus pipeline: stages over documents, each written and read again by whoever runs them."""
+"""The corpus pipeline: five stages over documents, each written and read again by whoever runs them.
+
+Language ID drops documents without a language; quality rules drop documents and the lines that fail;
+of near duplicates the document with the smallest id stays; mixing drops or repeats documents so that
+sources come near their targets; packing cuts what is left into sequences of 2048 tokens. The stages but
+the last return the columns of documents.
+
+Rows with a null id are never near duplicates to be dropped, and mixing takes them once.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from thalweg.llm import language_id
+from thalweg.llm.mixing import mix
+from thalweg.llm.near_dedup import near_duplicates
+from thalweg.llm.packing import ids_crc32, pack
+from thalweg.llm.quality import quality
+from thalweg.llm.shared import written
+
+
+def by_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose text has a language; profiles are learned as in op6_language_id."""
+    learned = docs.where(F.crc32(F.col("doc_id").cast("string")) % 4 != 2)
+    profiles = language_id.fit(learned, by=F.col("doc_id"))
+    return language_id.predict(docs, profiles).where(F.col("lang_pred") != language_id.UNDETERMINED).select(*docs.columns)
+
+
+def by_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass, without their failing lines."""
+    kept = quality(docs).where("kept").withColumn("text", F.col("cleaned_text"))
+    return kept.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+
+
+def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class, the one with the smallest id; of rows with one id one."""
+    classes = near_duplicates(docs.select("doc_id", "text")).where("doc_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("class_id"), F.count("*").alias("n"))
+    classes = written(classes, "classes")
+    out = docs.join(classes.where("class_id <> doc_id").select("doc_id"), "doc_id", "left_anti")
+    twice = classes.where("n > 1 and class_id = doc_id").select("doc_id")
+    if twice.limit(1).count():
+        out = out.join(twice, "doc_id", "left_anti").unionByName(out.join(twice, "doc_id", "left_semi").dropDuplicates(["doc_id"]))
+    return out.select(*docs.columns)
+
+
+def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it."""
+    copies = mix(docs).where("doc_id is not null").select("doc_id", "copies")
+    out = docs.join(copies, "doc_id", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
+    return out.where("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(*docs.columns)
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the packed sequences, as op7_packing returns them."""
+    pieces = pack(docs.select("doc_id", "text"), public_tokenizers.path("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", ids_crc32(2)("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", by_language),
+    ("quality_rules", by_quality),
+    ("near_dedup", without_near_duplicates),
+    ("mixing", mixed),
+    ("packing", packed),
+]
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = []
+#: Language ID, near duplicates, mixing and packing have no SQL; tests/llm/test_pipeline.py holds the stages against brute force.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
