@@ -94,7 +94,7 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ordered_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """set_id, ord, item: the parts of each customer's orders, in order."""
     lines = table(spark, sf_dir, "lineitem").join(table(spark, sf_dir, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return lines.select(F.col("o_custkey").alias("set_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("ord"), (F.col("l_partkey") % 50).alias("item"))
+    return lines.select(F.col("o_custkey").alias("set_id"), ((F.col("l_orderkey") * 10 + F.col("l_linenumber")) * 64 + F.col("l_partkey") % 50).cast("long").alias("ord"), (F.col("l_partkey") % 50).alias("item"))
 
 
 #: The same relations for DuckDB, by name; each needs the ones before it that it names.
@@ -116,7 +116,7 @@ e AS (SELECT CAST(0 AS BIGINT) AS u, 100 + sn AS v, sum(q) AS w FROM base GROUP
   WHERE p_size < 6 AND (s_nationkey * 5 + c_nationkey * 3) % 17 = 0 AND s_nationkey <> c_nationkey GROUP BY s_nationkey, c_nationkey, p_type)""",
     "inlets": "inlets AS (SELECT s_suppkey AS point_id, CAST(s_suppkey % 97 AS DOUBLE) AS x, s_acctbal AS y FROM supplier)",
     "points": "points AS (SELECT c_custkey AS node_id, CAST(c_custkey % 97 AS DOUBLE) AS x, c_acctbal AS y FROM customer)",
-    "sets": "sets AS (SELECT o_custkey AS set_id, CAST(l_orderkey * 10 + l_linenumber AS BIGINT) AS ord, l_partkey % 50 AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+    "sets": "sets AS (SELECT o_custkey AS set_id, CAST((l_orderkey * 10 + l_linenumber) * 64 + l_partkey % 50 AS BIGINT) AS ord, l_partkey % 50 AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
 }
 
 
