@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-FAMILIES = ("raster", "regions", "series", "sets", "delta", "links", "directions")
+FAMILIES = ("raster", "regions", "series", "sets", "delta", "links", "directions", "skeletons")
 
 
 def registered() -> dict:
