@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from thalweg.llm.shared import Spans, mix64, text_blocks, window_hashes, word_spans, written
 
 #: Members of a bucket that one task compares at once.
-BLOCK = 1024
+BLOCK = 512
 #: Pairs whose signatures agree in less than this share, relative to the threshold, aren't checked exactly: over six standard errors.
 LEEWAY = 0.69
 
@@ -146,36 +146,47 @@ def _agreement():
     return agree
 
 
+def similarity(a: bytes, b: bytes) -> float:
+    """Weighted Jaccard similarity of two sets as _sets packs them."""
+    (hx, wx), (hy, wy) = (np.frombuffer(s, np.uint32).reshape(2, -1) for s in (a, b))
+    _, i, j = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
+    shared = int(np.minimum(wx[i], wy[j]).sum(dtype=np.int64))
+    return shared / (int(wx.sum(dtype=np.int64)) + int(wy.sum(dtype=np.int64)) - shared)
+
+
 def _similarity():
     @F.arrow_udf("double")
     def similar(a: pa.Array, b: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-            (hx, wx), (hy, wy) = ((np.frombuffer(s, np.uint64).reshape(2, -1)) for s in (x, y))
-            _, i, j = np.intersect1d(hx, hy, assume_unique=True, return_indices=True)
-            wx, wy = wx.astype(np.int64), wy.astype(np.int64)
-            shared = int(np.minimum(wx[i], wy[j]).sum())
-            out.append(shared / (int(wx.sum()) + int(wy.sum()) - shared))
-        return pa.array(out, pa.float64())
+        return pa.array([similarity(x, y) for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True)], pa.float64())
 
     return similar
 
 
 def _sets(texts: DataFrame, size: int, weighting: str) -> DataFrame:
-    """rep and set (hashes, then weights) of texts (rep, text)."""
+    """rep and set (32-bit hashes of the shingles, then their weights) of texts (rep, text)."""
 
     def gather(batches):
         for batch in batches:
             for at, n, data, offsets in text_blocks(batch.column(1)):
                 row, hashes, counts, _, _ = shingles(data, offsets, size)
-                weights = counts.astype(np.uint64) if weighting == "count" else np.ones(len(row), np.uint64)
                 cuts = np.searchsorted(row, np.arange(n + 1))
-                sets = [np.concatenate((hashes[a:b], weights[a:b])).tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)]
+                sets = []
+                for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+                    short, first = np.unique((hashes[a:b] >> np.uint64(32)).astype(np.uint32), return_index=True)
+                    weights = counts[a:b][first].astype(np.uint32) if weighting == "count" else np.ones(len(short), np.uint32)
+                    sets.append(np.concatenate((short, weights)).tobytes())
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(sets, pa.binary())], ["rep", "set"])
 
     return texts.mapInArrow(gather, "rep long, set binary")
 
 
+def _sets_of(reps: DataFrame, docs: DataFrame, size: int, weighting: str) -> DataFrame:
+    """rep and set of the documents in reps (rep); a written table."""
+    wanted = written(reps, "wanted")
+    texts = docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep").select("rep", "text")
+    return written(_sets(texts, size, weighting).groupBy("rep").agg(F.max("set").alias("set")), "sets", compression="zstd")
+
+
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", size: int = 5, threshold: float = 0.8, bands: int = 24, rows: int = 4, weighting: str = "set") -> DataFrame:
     """doc_id and class_id of every row: the smallest id of its class, itself if nothing is like it.
 
@@ -198,13 +209,14 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
                     key = np.repeat(np.arange(1, bands + 1, dtype=np.uint64)[None, :], len(some), axis=0)
                     for i in range(rows):
                         key = mix64(key * _STEP + x[:, :, i])
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some.column(0).to_numpy(), bands)), pa.array(key.ravel().view(np.int64))], ["rep", "bucket"])
+                number = np.tile(np.arange(bands, dtype=np.int32), len(some))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some.column(0).to_numpy(), bands)), pa.array(number), pa.array(key.ravel().view(np.int64))], ["rep", "band", "bucket"])
 
     signatures = written(long, "signatures")
-    members = written(signatures.mapInArrow(band, "rep long, bucket long"), "bands")
+    members = written(signatures.mapInArrow(band, "rep long, band int, bucket long"), "bands")
     draw = F.struct(F.xxhash64("rep", "bucket").alias("draw"), F.col("rep").alias("hub"))
     hubs = members.groupBy("bucket").agg(F.count("*").alias("n"), F.min(draw).alias("least")).where("n > 1").select("bucket", "n", "least.hub")
-    shared = written(members.join(hubs, "bucket").select("bucket", "n", "rep", "hub"), "buckets")
+    shared = written(members.join(hubs, "bucket").select("bucket", "band", "n", "rep", "hub"), "buckets")
 
     least = threshold * LEEWAY
     pairs = shared.where("rep <> hub").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
@@ -215,35 +227,49 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     labels = components(links)
 
     # Members of one bucket that are in different classes so far.
-    labelled = shared.where("n > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "rep", "hub", F.coalesce("label", "rep").alias("label"))
+    labelled = shared.where("n > 2").join(labels.withColumnRenamed("node", "rep"), "rep", "left").select("bucket", "band", "rep", "hub", F.coalesce("label", "rep").alias("label"))
     labelled = written(labelled, "labelled")
     per = labelled.groupBy("bucket", "label").agg(F.count("*").alias("n"))
     largest = per.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("top"), F.sum("n").alias("n")).where("top.n < n")
     open_buckets = largest.select("bucket", "n", F.col("top.label").alias("top"))
-    opened = labelled.where("rep <> hub").join(open_buckets, "bucket").join(signatures, "rep")
-    opened = written(opened.select("bucket", "rep", "label", "signature", "top", F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks")), "open")
+    opened = labelled.where("rep <> hub").join(open_buckets, "bucket").select("bucket", "band", "rep", "label", (F.col("label") != F.col("top")).alias("odd"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
+    opened = written(opened, "open")
+    known = _sets_of(opened.select("rep").distinct(), docs, size, weighting)
+    opened = opened.join(signatures, "rep").join(known, "rep")
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    odd = opened.where("label <> top").select(F.col("bucket").alias("b1"), mine.alias("i1"), every.alias("j1"), F.col("rep").alias("rep1"), F.col("label").alias("label1"), F.col("signature").alias("s1"))
-    rest = opened.select(F.col("bucket").alias("b2"), every.alias("i2"), mine.alias("j2"), F.col("rep").alias("rep2"), F.col("label").alias("label2"), F.col("signature").alias("s2"))
+    odd = opened.where("odd").select(F.col("bucket").alias("b1"), mine.alias("i1"), every.alias("j1"), *[F.col(c).alias(f"{c}1") for c in ("band", "rep", "label", "signature", "set")])
+    rest = opened.select(F.col("bucket").alias("b2"), every.alias("i2"), mine.alias("j2"), *[F.col(c).alias(f"{c}2") for c in ("rep", "label", "odd", "signature", "set")])
 
     def compare(_key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found: list[np.ndarray] = []
+        """Links between the two sides that join labels not yet joined here; a pair is looked at in its first common band alone."""
+        found: list[tuple[int, int]] = []
+        root: dict[int, int] = {}
+
+        def top(x: int) -> int:
+            while x in root:
+                x = root[x]
+            return x
+
         if len(left) and len(right):
-            x, y = (np.frombuffer(b"".join(s), np.uint32).reshape(len(s), -1) for s in (left["s1"], right["s2"]))
-            rep1, rep2, label1, label2 = left["rep1"].to_numpy(), right["rep2"].to_numpy(), left["label1"].to_numpy(), right["label2"].to_numpy()
+            x, y = (np.frombuffer(b"".join(s), np.uint32).reshape(len(s), -1) for s in (left["signature1"], right["signature2"]))
+            rep1, rep2, label1, label2, odd2 = (c.to_numpy() for c in (left["rep1"], right["rep2"], left["label1"], right["label2"], right["odd2"]))
+            set1, set2, number = left["set1"].to_list(), right["set2"].to_list(), int(left["band1"].iloc[0])
             for at in range(len(x)):
-                hit = np.flatnonzero((label2 != label1[at]) & ((y == x[at]).mean(axis=1) >= least))
-                if len(hit):
-                    found.append(np.stack((np.full(len(hit), rep1[at]), rep2[hit]), axis=1))
-        out = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": out.min(axis=1), "b": out.max(axis=1)}) if len(out) else pd.DataFrame({"a": out[:, 0], "b": out[:, 1]})
-
-    late = odd.groupBy("b1", "i1", "j1").cogroup(rest.groupBy("b2", "i2", "j2")).applyInPandas(compare, "a long, b long").distinct()
-    late = written(late, "pairs")
+                same = y == x[at]
+                share = same.mean(axis=1)
+                hit = np.flatnonzero((label2 != label1[at]) & (share >= least) & ~(odd2 & (rep2 < rep1[at])))
+                hit = hit[same[hit].reshape(len(hit), bands, rows).all(axis=2).argmax(axis=1) == number]
+                for other in hit[np.argsort(-share[hit], kind="stable")].tolist():
+                    p, q = top(int(label1[at])), top(int(label2[other]))
+                    if p != q and similarity(set1[at], set2[other]) >= threshold:
+                        root[max(p, q)] = min(p, q)
+                        found.append((int(rep1[at]), int(rep2[other])))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    late = written(odd.groupBy("b1", "i1", "j1").cogroup(rest.groupBy("b2", "i2", "j2")).applyInPandas(compare, "a long, b long"), "late")
     if late.limit(1).count():
-        links = written(links.unionByName(_checked(late, docs, size, threshold, weighting)), "links")
-        labels = components(links)
+        labels = components(links.unionByName(late))
     named = reps.join(labels, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("label", "rep").alias("class_id"))
     copies = written(named.groupBy("h1", "h2").agg(F.min("class_id").alias("class_id")), "classes")
     out = signed.select("doc_id", F.col("h1").alias("g1"), F.col("h2").alias("g2")).join(copies, (F.col("g1") == F.col("h1")) & (F.col("g2") == F.col("h2")), "left")
@@ -252,9 +278,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
 
 def _checked(pairs: DataFrame, docs: DataFrame, size: int, threshold: float, weighting: str) -> DataFrame:
     """The pairs (a, b) whose sets of shingles are as similar as threshold; a written table."""
-    wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), "wanted")
-    texts = docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep").select("rep", "text")
-    sets = written(_sets(texts, size, weighting).groupBy("rep").agg(F.max("set").alias("set")), "sets")
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), docs, size, weighting)
     side = lambda c: sets.select(F.col("rep").alias(c), F.col("set").alias(f"set_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return written(both.withColumn("s", _similarity()("set_a", "set_b")).where(F.col("s") >= threshold).select("a", "b"), "links")

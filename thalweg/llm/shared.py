@@ -12,6 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that a Python worker handles at once; a longer single text is a block of its own.
 BLOCK_BYTES = 1 << 20
 
+#: Rows of a batch that goes to a Python worker while a table is written.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
 #: The six characters that end a word (fixed values): space, tab, \n, \v, \f, \r.
 WORD_END = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
 #: The same as a Java regular expression for words.
@@ -33,7 +37,12 @@ def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends here and a lost executor costs no earlier stage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
+    kept = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, str(min(int(kept), BATCH_ROWS)))  # long texts: smaller batches for the Python workers
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(_BATCH, kept)
     return spark.read.schema(df.schema).parquet(path)
 
 
