@@ -57,7 +57,7 @@ def moved_geotransform(gt: Column, left, top) -> Column:
 
 
 def utm(lon, lat, zone: int, south: bool = False) -> tuple[Column, Column]:
-    """Easting and northing (WGS84) of degrees, by Krueger's series to the third order in n (well under a millimetre within a zone)."""
+    """Easting and northing (WGS84) of degrees, by Krueger's series to the third order in n (about a millimetre within a zone)."""
     f, a = 1 / 298.257223563, 6378137.0
     n = f / (2 - f)
     radius = a / (1 + n) * (1 + n**2 / 4 + n**4 / 64)

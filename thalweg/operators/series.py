@@ -50,9 +50,9 @@ def curvature(lines: DataFrame, unwrap: bool = True) -> DataFrame:
 
 
 def inflections(curves: DataFrame, value: str = "curv") -> DataFrame:
-    """Rows right before the sign of value changes."""
-    after = F.lead(value).over(along())
-    return curves.withColumn("_after", after).where((F.col(value) * F.col("_after")) < 0).drop("_after")
+    """Rows right after the sign of value changes."""
+    before = F.lag(value).over(along())
+    return curves.withColumn("_before", before).where((F.col(value) * F.col("_before")) < 0).drop("_before")
 
 
 def mirror_ends(lines: DataFrame, n: int) -> DataFrame:

@@ -160,7 +160,8 @@ def graph_of(image: np.ndarray) -> tuple[list[list[tuple[int, int]]], list[tuple
                         links.append((k, node[q], [p, q]))
                     continue
                 path = walk(p, q)
-                links.append((k, node[path[-1]], path))
+                if node[path[-1]] != k or len(path) > 3:  # else a pixel at the side of its cluster
+                    links.append((k, node[path[-1]], path))
     for p in sorted(on):  # rings
         if p not in node and p not in used:
             node[p] = len(nodes)

@@ -49,7 +49,7 @@ def series_curvature(spark, sf):
     return _rounded(op.curvature(fx.series(spark, sf)))
 
 
-@register("series_inflections", _CURV + ", z AS (SELECT *, lead(curv) OVER (PARTITION BY series_id ORDER BY seq) AS nxt FROM curve) SELECT series_id, seq FROM z WHERE curv * nxt < 0")
+@register("series_inflections", _CURV + ", z AS (SELECT *, lag(curv) OVER (PARTITION BY series_id ORDER BY seq) AS nxt FROM curve) SELECT series_id, seq FROM z WHERE curv * nxt < 0")
 def series_inflections(spark, sf):
     return op.inflections(op.curvature(fx.series(spark, sf))).select("series_id", "seq")
 
