@@ -113,7 +113,7 @@ def usable(vector: Column) -> Column:
     return F.coalesce((F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", curves: int = 16, blocks: int = 48, projected: int = 12, bits: int = 5, seed: int = 7) -> DataFrame:
+def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id", vector: str = "embedding", curves: int = 24, blocks: int = 48, projected: int = 12, bits: int = 5, seed: int = 7) -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k nearest found for each row where is_query (over the id) holds."""
     rows = df.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").alias("vec"), is_query.alias("is_query"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vec")))
