@@ -223,6 +223,39 @@ def junction_types(links: DataFrame, wid: str = "wid") -> DataFrame:
     return g.where("n_in + n_out = 3").select("net_id", "node", kind.alias("jtype"), ratio.alias("width_ratio"))
 
 
+def split_ratios(links: DataFrame, inlets: DataFrame, wid: str = "wid") -> DataFrame:
+    """net_id, node, qr: wider over narrower of the two links that leave a node of three links, or an inlet of two."""
+    out = links.groupBy("net_id", F.col("u").alias("node")).agg(F.count("*").alias("n_out"), (F.max(wid) / F.min(wid)).alias("qr")).where("n_out = 2")
+    marked = degrees(links).join(inlets.select("net_id", "node").distinct().withColumn("_inlet", F.lit(True)), ["net_id", "node"], "left")
+    fit = marked.where("degree = 3 OR (degree = 2 AND _inlet)").select("net_id", "node")
+    return out.join(fit, ["net_id", "node"], "left_semi").select("net_id", "node", "qr")
+
+
+def add_super_apex(links: DataFrame, inlets: DataFrame, wid: str = "wid") -> DataFrame:
+    """With a link of no length from a new node (one below the least id) to each inlet, as wide as the inlet's links together."""
+    apex = ends(links).groupBy("net_id").agg((F.min("node") - 1).alias("u"), F.max("link_id").alias("top"))
+    total = ends(links).join(links.select("net_id", "link_id", wid), ["net_id", "link_id"]).join(inlets, ["net_id", "node"], "left_semi").groupBy("net_id", "node").agg(F.sum(wid).alias(wid))
+    rank = F.row_number().over(Window.partitionBy("net_id").orderBy("node"))
+    new = total.join(apex, "net_id").select("net_id", (F.col("top") + rank).alias("link_id"), "u", F.col("node").alias("v"), wid, F.lit(0.0).alias("len"))
+    return links.unionByName(new, allowMissingColumns=True)
+
+
+def delete_super_apex(links: DataFrame) -> DataFrame:
+    """Without what add_super_apex added: the links of the least node."""
+    least = ends(links).groupBy("net_id").agg(F.min("node").alias("u"))
+    return links.join(least, ["net_id", "u"], "left_anti").select(*links.columns)
+
+
+def single_inlet(links: DataFrame, inlets: DataFrame, outlets: DataFrame, wid: str = "wid") -> DataFrame:
+    """The links below the widest inlet of each network: what its water can reach, without the spurs that leaves."""
+    from thalweg.operators.delta_metrics import hops
+
+    start = widest_inlet(links, inlets, wid)
+    wet = hops(links.select("net_id", "u", "v").distinct(), start)
+    own = links.join(wet.select("net_id", F.col("node").alias("u")), ["net_id", "u"], "left_semi").select(*links.columns)
+    return without_spurs(own, start.unionByName(outlets).distinct())
+
+
 def angle_between(ax: Column, ay: Column, bx: Column, by: Column) -> Column:
     """Degrees in [0, 180] between two vectors."""
     turn = F.pmod(F.degrees(F.atan2(ay, ax) - F.atan2(by, bx)), F.lit(360.0))

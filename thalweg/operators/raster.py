@@ -203,8 +203,12 @@ def pad_rows(pixels: DataFrame, images: DataFrame, sides: str, pads: int) -> Dat
 
 
 def points_in_polygons(cells: DataFrame, edges: DataFrame) -> DataFrame:
-    """image_id, r, c of the cells whose centre is in a polygon, by the parity of the edges (image_id, r1, c1, r2, c2) to its right."""
-    crossing = (F.col("r1") <= F.col("r")) != (F.col("r2") <= F.col("r"))
-    right = F.col("c") < F.col("c1") + (F.col("r") - F.col("r1")) * (F.col("c2") - F.col("c1")) / (F.col("r2") - F.col("r1"))
-    hits = cells.join(edges, "image_id").where(crossing).where(right)
+    """image_id, r, c of the cells whose centre is in a polygon, by the parity of the edges (image_id, r1, c1, r2, c2) to its right.
+
+    Cells and edges meet in rows.
+    """
+    rows = F.sequence(F.ceil(F.least("r1", "r2")).cast("int"), F.greatest(F.ceil(F.least("r1", "r2")), F.floor(F.greatest("r1", "r2"))).cast("int"))
+    hits = cells.join(edges.withColumn("r", F.explode(rows)), ["image_id", "r"]).where((F.col("r1") <= F.col("r")) != (F.col("r2") <= F.col("r")))
+    run = F.col("r2") - F.col("r1")
+    hits = hits.where(F.col("c") < F.col("c1") + (F.col("r") - F.col("r1")) * (F.col("c2") - F.col("c1")) / F.when(run != 0, run))
     return hits.groupBy(*PIXEL).agg(F.count("*").alias("n")).where("n % 2 = 1").select(*PIXEL)

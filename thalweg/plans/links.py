@@ -172,6 +172,27 @@ def junction_type(spark, sf):
     return op.junction_types(_links(spark, sf).where("link_id % 7 < 3")).select("node", "jtype", F.round("width_ratio", 6).alias("width_ratio"))
 
 
+@register("node_qr", _J + ", q AS (SELECT u AS node, count(*) AS n_out, max(wid) / min(wid) AS qr FROM l GROUP BY u HAVING count(*) = 2), d AS (SELECT node, count(*) AS n FROM io GROUP BY node) SELECT node, round(qr, 6) AS qr FROM q JOIN d USING (node) WHERE n = 3 OR (n = 2 AND node % 2 = 0)")
+def node_qr(spark, sf):
+    links = _links(spark, sf).where("link_id % 7 < 3")
+    inlets = op.degrees(links).where("node % 2 = 0").select("net_id", "node")
+    return op.split_ratios(links, inlets).select("node", F.round("qr", 6).alias("qr"))
+
+
+@register("link_super_apex", _L + ", t AS (SELECT node, sum(wid) AS wid FROM ends JOIN links USING (link_id) WHERE node < 4 GROUP BY node) SELECT link_id, u, v, wid FROM links UNION ALL SELECT (SELECT max(link_id) FROM links) + row_number() OVER (ORDER BY node), (SELECT min(node) - 1 FROM ends), node, wid FROM t")
+def link_super_apex(spark, sf):
+    links = _links(spark, sf)
+    inlets = op.degrees(links).where("node < 4").select("net_id", "node")
+    return op.add_super_apex(links, inlets).select("link_id", "u", "v", "wid")
+
+
+@register("link_single_inlet")
+def link_single_inlet(spark, sf):
+    links = _links(spark, sf).where("link_id % 5 = 0")
+    nodes = op.degrees(links)
+    return op.single_inlet(links, nodes.where("node < 5").select("net_id", "node"), nodes.where("node > 20").select("net_id", "node")).select("link_id", "u", "v")
+
+
 _VEC = ", vec AS (SELECT link_id, CAST(v * 37 % 101 - u * 37 % 101 AS DOUBLE) AS dx, CAST(v * 53 % 89 - u * 53 % 89 AS DOUBLE) AS dy, u, v FROM l)"
 
 

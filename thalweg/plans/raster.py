@@ -194,7 +194,7 @@ def geo_affine(spark, sf):
     return sized.select(*op.PIXEL, x.alias("x"), y.alias("y"))
 
 
-@register("geo_inverse", _ON + ", pts AS (SELECT image_id, s_suppkey AS point_id, 336885.0 + image_id * 3000 + s_acctbal / 7 AS x, 7826415.0 - s_suppkey * 3.7 AS y FROM images, supplier) SELECT image_id, point_id, CAST(trunc((x - (336885.0 + image_id * 3000)) / 30.0) AS INTEGER) AS c, CAST(trunc((y - 7826415.0) / -30.0) AS INTEGER) AS r FROM pts")
+@register("geo_inverse", _ON + ", pts AS (SELECT image_id, s_suppkey AS point_id, 336885.0 + image_id * 3000 + s_acctbal / 7 AS x, 7826415.0 - s_suppkey * 3.7 AS y FROM images JOIN supplier ON image_id = s_suppkey % 4) SELECT image_id, point_id, CAST(trunc((x - (336885.0 + image_id * 3000)) / 30.0) AS INTEGER) AS c, CAST(trunc((y - 7826415.0) / -30.0) AS INTEGER) AS r FROM pts")
 def geo_inverse(spark, sf):
     from thalweg.functions.geo import cell_of
 
@@ -204,12 +204,12 @@ def geo_inverse(spark, sf):
 
 
 def _sample_points(spark, sf):
-    im, s = fx.images(spark, sf), fx.table(spark, sf, "supplier")
-    both = im.crossJoin(F.broadcast(s))
+    s = fx.table(spark, sf, "supplier").withColumn("image_id", F.col("s_suppkey") % 4)
+    both = fx.images(spark, sf).join(s, "image_id")
     return both.select("image_id", "gt", F.col("s_suppkey").alias("point_id"), (F.lit(336885.0) + F.col("image_id") * 3000 + F.col("s_acctbal") / 7).alias("x"), (F.lit(7826415.0) - F.col("s_suppkey") * 3.7).alias("y"))
 
 
-@register("geo_sample", _ON + ", pts AS (SELECT image_id, s_suppkey AS point_id, 336885.0 + image_id * 3000 + s_acctbal / 7 AS x, 7826415.0 - s_suppkey * 3.7 AS y FROM images, supplier), cell AS (SELECT image_id, point_id, CAST(trunc((x - (336885.0 + image_id * 3000)) / 30.0) AS INTEGER) AS c, CAST(trunc((y - 7826415.0) / -30.0) AS INTEGER) AS r FROM pts) SELECT image_id, point_id, v FROM cell LEFT JOIN cells USING (image_id, r, c)")
+@register("geo_sample", _ON + ", pts AS (SELECT image_id, s_suppkey AS point_id, 336885.0 + image_id * 3000 + s_acctbal / 7 AS x, 7826415.0 - s_suppkey * 3.7 AS y FROM images JOIN supplier ON image_id = s_suppkey % 4), cell AS (SELECT image_id, point_id, CAST(trunc((x - (336885.0 + image_id * 3000)) / 30.0) AS INTEGER) AS c, CAST(trunc((y - 7826415.0) / -30.0) AS INTEGER) AS r FROM pts) SELECT image_id, point_id, v FROM cell LEFT JOIN cells USING (image_id, r, c)")
 def geo_sample(spark, sf):
     from thalweg.functions.geo import cell_of
 
