@@ -66,19 +66,12 @@ def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def multigraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """link_id, u, v, wid, len: nations joined by a link per part type (of size under 6), with its quantities."""
-    t = lambda n: table(spark, sf_dir, n)
-    base = (
-        t("lineitem")
-        .join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
-        .join(t("part").where("p_size < 6"), F.col("l_partkey") == F.col("p_partkey"))
-        .join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
-        .where("(s_nationkey * 5 + c_nationkey * 3) % 17 = 0 AND s_nationkey <> c_nationkey")
-    )
-    links = base.groupBy(F.col("s_nationkey").cast("long").alias("u"), F.col("c_nationkey").cast("long").alias("v"), "p_type").agg(F.sum("l_quantity").alias("len"), F.max("l_quantity").alias("wid"))
-    code = F.ascii("p_type") * 7 + F.length("p_type")
-    return links.select((F.col("u") * 1000000 + F.col("v") * 10000 + code).cast("long").alias("link_id"), "u", "v", "wid", "len")
+    """link_id, u, v, wid, len: a sparse network with a link per customer, between two nodes made of its key."""
+    c = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        c.cast("long").alias("link_id"), (c % 1009).cast("long").alias("u"), F.expr("(c_custkey % 1009 + c_custkey div 1300) * 31 % 1009").cast("long").alias("v"),
+        (1 + F.abs("c_acctbal") / 100).alias("wid"), (F.col("c_nationkey") + 10).cast("double").alias("len"),
+    )
 
 
 def inlets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -110,10 +103,7 @@ SQL = {
 e AS (SELECT CAST(0 AS BIGINT) AS u, 100 + sn AS v, sum(q) AS w FROM base GROUP BY sn
   UNION ALL SELECT 100 + sn, 1000 + b, sum(q) FROM base WHERE (sn * 7 + b * 3) % 5 < 2 GROUP BY sn, b
   UNION ALL SELECT 1000 + b, 10000 + cr, sum(q) FROM base WHERE (b + cr) % 3 > 0 GROUP BY b, cr)""",
-    "links": """links AS (SELECT CAST(s_nationkey * 1000000 + c_nationkey * 10000 + ascii(p_type) * 7 + length(p_type) AS BIGINT) AS link_id, CAST(s_nationkey AS BIGINT) AS u, CAST(c_nationkey AS BIGINT) AS v,
-  max(l_quantity) AS wid, sum(l_quantity) AS len
-  FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey
-  WHERE p_size < 6 AND (s_nationkey * 5 + c_nationkey * 3) % 17 = 0 AND s_nationkey <> c_nationkey GROUP BY s_nationkey, c_nationkey, p_type)""",
+    "links": "links AS (SELECT CAST(c_custkey AS BIGINT) AS link_id, CAST(c_custkey % 1009 AS BIGINT) AS u, CAST((c_custkey % 1009 + c_custkey // 1300) * 31 % 1009 AS BIGINT) AS v, 1 + abs(c_acctbal) / 100 AS wid, CAST(c_nationkey + 10 AS DOUBLE) AS len FROM customer)",
     "inlets": "inlets AS (SELECT s_suppkey AS point_id, CAST(s_suppkey % 97 AS DOUBLE) AS x, s_acctbal AS y FROM supplier)",
     "points": "points AS (SELECT c_custkey AS node_id, CAST(c_custkey % 97 AS DOUBLE) AS x, c_acctbal AS y FROM customer)",
     "sets": "sets AS (SELECT o_custkey AS set_id, CAST((l_orderkey * 10 + l_linenumber) * 64 + l_partkey % 50 AS BIGINT) AS ord, l_partkey % 50 AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",

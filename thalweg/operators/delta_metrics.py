@@ -168,7 +168,7 @@ def hops(edges: DataFrame, start: DataFrame) -> DataFrame:
     while front.limit(1).count():
         k += 1
         front = stored(front.join(step, ["net_id", "node"]).select("net_id", F.col("next").alias("node")).distinct().join(seen, ["net_id", "node"], "left_anti").withColumn("hops", F.lit(k)))
-        seen = seen.unionByName(front)
+        seen = stored(seen.unionByName(front))
     return seen
 
 

@@ -20,27 +20,27 @@ def register(name, sql=None):
     return keep
 
 
-_L = fx.with_("links") + ", l AS (SELECT * FROM links WHERE link_id % 3 = 0), ends AS (SELECT link_id, u AS node, v AS other FROM l UNION ALL SELECT link_id, v, u FROM l)"
+_L = fx.with_("links") + ", l AS (SELECT * FROM links), ends AS (SELECT link_id, u AS node, v AS other FROM l UNION ALL SELECT link_id, v, u FROM l)"
 
 
 def _links(spark, sf):
-    return fx.multigraph(spark, sf).where("link_id % 3 = 0").withColumn("net_id", F.lit(0).cast("long"))
+    return fx.multigraph(spark, sf).withColumn("net_id", F.lit(0).cast("long"))
 
 
 def _nodes(links, test):
     return lk.ends(links).where(test).select("net_id", "node").distinct()
 
 
-@register("dir_inlet_outlet", _L + ", f AS (SELECT link_id, node AS us, 0 AS k FROM ends WHERE node < 5 UNION ALL SELECT link_id, other, 1 FROM ends WHERE node > 20) SELECT link_id, CAST(min(k * 1000 + us) % 1000 AS BIGINT) AS us FROM f GROUP BY link_id")
+@register("dir_inlet_outlet", _L + ", f AS (SELECT link_id, node AS us, 0 AS k FROM ends WHERE node < 20 UNION ALL SELECT link_id, other, 1 FROM ends WHERE node > 990) SELECT link_id, CAST(min(k * 100000 + us) % 100000 AS BIGINT) AS us FROM f GROUP BY link_id")
 def dir_inlet_outlet(spark, sf):
     links = _links(spark, sf)
-    return op.inlet_outlet_facts(links, _nodes(links, "node < 5"), _nodes(links, "node > 20")).select("link_id", "us")
+    return op.inlet_outlet_facts(links, _nodes(links, "node < 20"), _nodes(links, "node > 990")).select("link_id", "us")
 
 
-@register("dir_check_sources", _L + ", io AS (SELECT u AS node, 1 AS o FROM l UNION ALL SELECT v, 0 FROM l) SELECT node, CASE WHEN sum(o) = 0 THEN 'sink' ELSE 'source' END AS kind FROM io WHERE node BETWEEN 3 AND 22 GROUP BY node HAVING sum(o) IN (0, count(*))")
+@register("dir_check_sources", _L + ", io AS (SELECT u AS node, 1 AS o FROM l UNION ALL SELECT v, 0 FROM l) SELECT node, CASE WHEN sum(o) = 0 THEN 'sink' ELSE 'source' END AS kind FROM io WHERE node BETWEEN 20 AND 990 GROUP BY node HAVING sum(o) IN (0, count(*))")
 def dir_check_sources(spark, sf):
     links = _links(spark, sf)
-    return op.bad_nodes(links, _nodes(links, "node < 3 OR node > 22")).select("node", "kind")
+    return op.bad_nodes(links, _nodes(links, "node < 20 OR node > 990")).select("node", "kind")
 
 
 @register("dir_width_guess", fx.with_("series") + ", px AS (SELECT series_id AS link_id, seq, 2 + seq % 4 + series_id % 3 * (seq % 2) AS wid FROM series), w AS (SELECT link_id, min_by(wid, seq) AS a, max_by(wid, seq) AS b FROM px GROUP BY 1) SELECT link_id, CASE WHEN a >= b THEN 'first' ELSE 'last' END AS up, round(abs(a - b) / ((a + b) / 2.0) * 100, 6) AS wid_pctdiff FROM w")
@@ -59,7 +59,7 @@ def dir_slopes(spark, sf):
 @register("dir_shortest")
 def dir_shortest(spark, sf):
     links = _links(spark, sf)
-    return op.shortest(links, _nodes(links, "node > 20")).select("node", F.round("dist", 6).alias("dist"), "pred")
+    return op.shortest(links, _nodes(links, "node > 990")).select("node", F.round("dist", 6).alias("dist"), "pred")
 
 
 @register("dir_shortest_dag", fx.with_("flow") + """, w AS (SELECT 0::BIGINT AS node, 0.0::DOUBLE AS dist, 0 AS k UNION ALL SELECT e.v, w.dist + e.w, w.k + 1 FROM w JOIN e ON e.u = w.node WHERE w.k < 3) SELECT node, round(min(dist), 6) AS dist FROM w GROUP BY node""")
@@ -72,38 +72,38 @@ def dir_shortest_dag(spark, sf):
 @register("dir_shortest_guesses")
 def dir_shortest_guesses(spark, sf):
     links = _links(spark, sf)
-    return op.shortest_path_guesses(links, _nodes(links, "node > 20")).select("link_id", "us")
+    return op.shortest_path_guesses(links, _nodes(links, "node > 990")).select("link_id", "us")
 
 
-@register("dir_main_channel_cost", _L + " SELECT link_id, (max(wid) OVER () - wid) * len AS cost FROM l")
+@register("dir_main_channel_cost", _L + " SELECT link_id, round((max(wid) OVER () - wid) * len, 6) AS cost FROM l")
 def dir_main_channel_cost(spark, sf):
-    return op.main_channel_cost(_links(spark, sf)).select("link_id", "cost")
+    return op.main_channel_cost(_links(spark, sf)).select("link_id", F.round("cost", 6).alias("cost"))
 
 
 @register("dir_continuity")
 def dir_continuity(spark, sf):
     links = _links(spark, sf)
-    inlets, outlets = _nodes(links, "node < 5"), _nodes(links, "node > 20")
+    inlets, outlets = _nodes(links, "node < 20"), _nodes(links, "node > 990")
     facts = op.continue_flow(links, op.inlet_outlet_facts(links, inlets, outlets), inlets.unionByName(outlets))
     return op.apply_facts(links, op.parallel_facts(links, facts)).select("link_id", "u", "v", "certain", "alg")
 
 
 @register("dir_bridges")
 def dir_bridges(spark, sf):
-    return op.bridges(_links(spark, sf).where("link_id % 2 = 0")).select("link_id")
+    return op.bridges(_links(spark, sf)).select("link_id")
 
 
 @register("dir_bridge_facts")
 def dir_bridge_facts(spark, sf):
-    links = _links(spark, sf).where("link_id % 2 = 0")
-    return op.bridge_facts(links, _nodes(links, "node < 5"), _nodes(links, "node > 20")).select("link_id", "us", "alg")
+    links = _links(spark, sf)
+    return op.bridge_facts(links, _nodes(links, "node < 20"), _nodes(links, "node > 990")).select("link_id", "us", "alg")
 
 
 @register("dir_known_angles")
 def dir_known_angles(spark, sf):
     links = _links(spark, sf)
     vectors = links.select("net_id", "link_id", (F.col("v") * 37 % 101 - F.col("u") * 37 % 101).cast("double").alias("dx"), (F.col("v") * 53 % 89 - F.col("u") * 53 % 89).cast("double").alias("dy"))
-    facts = op.inlet_outlet_facts(links, _nodes(links, "node < 5"), _nodes(links, "node > 20"))
+    facts = op.inlet_outlet_facts(links, _nodes(links, "node < 20"), _nodes(links, "node > 990"))
     return op.known_angle_facts(links, vectors, facts, [k / 10 for k in range(1, 21)]).select("link_id", "us", "alg")
 
 
@@ -115,7 +115,7 @@ def dir_cycles(spark, sf):
 @register("dir_repaired")
 def dir_repaired(spark, sf):
     links = _links(spark, sf)
-    return op.repaired(links, _nodes(links, "node < 5 OR node > 20")).select("link_id", "u", "v")
+    return op.repaired(links, _nodes(links, "node < 20 OR node > 990")).select("link_id", "u", "v")
 
 
 @register("manual_dirs", _L + ", m AS (SELECT link_id, CASE WHEN link_id % 2 = 0 THEN v ELSE u + link_id % 4 END AS usnode FROM l) SELECT link_id, usnode AS us, -1.0::DOUBLE AS alg FROM m JOIN l USING (link_id) WHERE usnode IN (u, v)")
@@ -125,13 +125,13 @@ def manual_dirs(spark, sf):
     return op.manual_facts(links, rows).select("link_id", "us", "alg")
 
 
-_SEG = fx.with_("series") + ", seg AS (SELECT series_id AS id, seq AS seg, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM series WINDOW w AS (PARTITION BY series_id ORDER BY seq)), ls AS (SELECT * FROM seg WHERE x2 IS NOT NULL AND id < 40), tr AS (SELECT k AS id, 0 AS seg, 2.37 + k * 0.9 AS x1, -3.0 AS y1, 2.11 + k AS x2, 120.5 AS y2 FROM range(30) t(k))"
+_SEG = fx.with_("series") + ", seg AS (SELECT series_id AS id, seq AS seg, x AS x1, y AS y1, lead(x) OVER w AS x2, lead(y) OVER w AS y2 FROM series WINDOW w AS (PARTITION BY series_id ORDER BY seq)), ls AS (SELECT * FROM seg WHERE x2 IS NOT NULL), tr AS (SELECT k AS id, 0 AS seg, 2.37 + k * 0.9 AS x1, -3.0 AS y1, 2.11 + k AS x2, 120.5 AS y2 FROM range(30) t(k))"
 _HIT = """, c AS (SELECT *, CAST((x2 - x1) * (by2 - by1) - (y2 - y1) * (bx2 - bx1) AS DOUBLE) AS det FROM tr CROSS JOIN (SELECT id AS b_id, seg AS b_seg, x1 AS bx1, y1 AS by1, x2 AS bx2, y2 AS by2 FROM ls)),
 h AS (SELECT id, b_id, b_seg, x1 + t * (x2 - x1) AS x, y1 + t * (y2 - y1) AS y FROM (SELECT *, ((bx1 - x1) * (by2 - by1) - (by1 - y1) * (bx2 - bx1)) / nullif(det, 0) AS t, ((bx1 - x1) * (y2 - y1) - (by1 - y1) * (x2 - x1)) / nullif(det, 0) AS u FROM c) WHERE t BETWEEN 0 AND 1 AND u BETWEEN 0 AND 1)"""
 
 
 def _crossed(spark, sf):
-    lines = spatial.segments(fx.series(spark, sf).where("series_id < 40"))
+    lines = spatial.segments(fx.series(spark, sf))
     k = spark.range(30)
     transects = k.select("id", F.lit(0).alias("seg"), (F.lit(2.37) + F.col("id") * 0.9).alias("x1"), F.lit(-3.0).alias("y1"), (F.lit(2.11) + F.col("id")).alias("x2"), F.lit(120.5).alias("y2"))
     return transects, lines

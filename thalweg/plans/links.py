@@ -67,14 +67,14 @@ def link_add(spark, sf):
 
 @register("link_spurs")
 def link_spurs(spark, sf):
-    links = _links(spark, sf).where("link_id % 5 = 0")
-    return op.without_spurs(links, links.where("u < 3").select("net_id", F.col("u").alias("node")).distinct()).select("link_id", "u", "v")
+    links = _links(spark, sf)
+    return op.without_spurs(links, links.where("u < 20").select("net_id", F.col("u").alias("node")).distinct()).select("link_id", "u", "v")
 
 
 @register("node_two_link")
 def node_two_link(spark, sf):
-    links = _links(spark, sf).where("link_id % 5 = 0")
-    return op.contract(links, links.where("u < 3").select("net_id", F.col("u").alias("node")).distinct()).select("link_id", "u", "v", "n_links", "len")
+    links = _links(spark, sf)
+    return op.contract(links, links.where("u < 20").select("net_id", F.col("u").alias("node")).distinct()).select("link_id", "u", "v", "n_links", "len")
 
 
 @register("link_end_pixels", _P + " SELECT link_id, min_by(r, seq) AS r0, min_by(c, seq) AS c0, max_by(r, seq) AS r1, max_by(c, seq) AS c1 FROM px GROUP BY link_id")
@@ -82,15 +82,23 @@ def link_end_pixels(spark, sf):
     return op.end_pixels(_pixels(spark, sf)).select("link_id", F.col("first.r").alias("r0"), F.col("first.c").alias("c0"), F.col("last.r").alias("r1"), F.col("last.c").alias("c1"))
 
 
-@register("link_single_pixel", _P + " SELECT link_id FROM px WHERE seq % 60 = 0 GROUP BY link_id HAVING count(*) = 1")
+_DAYS = fx.with_("series") + ", px AS (SELECT 0 AS net_id, series_id * 100 + CAST(x AS INTEGER) AS link_id, seq, CAST(floor(y / 50) AS INTEGER) AS r, series_id % 2 AS c FROM series)"
+
+
+def _days(spark, sf):
+    """A link per user and day."""
+    s = fx.series(spark, sf)
+    return s.select(F.lit(0).alias("net_id"), (F.col("series_id") * 100 + F.col("x").cast("int")).alias("link_id"), "seq", F.floor(F.col("y") / 50).cast("int").alias("r"), (F.col("series_id") % 2).alias("c"))
+
+
+@register("link_single_pixel", _DAYS + " SELECT link_id FROM px GROUP BY link_id HAVING count(*) = 1")
 def link_single_pixel(spark, sf):
-    return op.single_pixel(_pixels(spark, sf).where("seq % 60 = 0")).select("link_id")
+    return op.single_pixel(_days(spark, sf)).select("link_id")
 
 
-@register("link_dedupe", _P + ", s AS (SELECT net_id, link_id, string_agg(DISTINCT r // 100 || ':' || c // 16, ',' ORDER BY r // 100 || ':' || c // 16) AS cells FROM px WHERE seq < 5 GROUP BY ALL) SELECT link_id FROM s QUALIFY link_id > min(link_id) OVER (PARTITION BY net_id, cells)")
+@register("link_dedupe", _DAYS + ", s AS (SELECT net_id, link_id, string_agg(DISTINCT r || ':' || c, ',' ORDER BY r || ':' || c) AS cells FROM px GROUP BY ALL) SELECT link_id FROM s QUALIFY link_id > min(link_id) OVER (PARTITION BY net_id, cells)")
 def link_dedupe(spark, sf):
-    p = _pixels(spark, sf).where("seq < 5").withColumns({"r": F.floor(F.col("r") / 100), "c": F.floor(F.col("c") / 16)})
-    return op.duplicates(p).select("link_id")
+    return op.duplicates(_days(spark, sf)).select("link_id")
 
 
 @register("link_lengths", _P + ", s AS (SELECT link_id, sqrt(pow(c - lag(c) OVER w, 2) + pow(r - lag(r) OVER w, 2)) AS d FROM px WINDOW w AS (PARTITION BY link_id ORDER BY seq)) SELECT link_id, round(sum(coalesce(d, 0)) * 30, 4) AS len FROM s GROUP BY link_id")
@@ -162,35 +170,28 @@ def node_dist_apex(spark, sf):
     return op.distance_from_apex(n, n.where("node_id < 3").select("net_id", "node_id")).select("node_id", F.round("dist", 6).alias("dist"))
 
 
-_J = fx.with_("links") + """, l AS (SELECT * FROM links WHERE link_id % 7 < 3), io AS (SELECT u AS node, wid AS o, NULL::DOUBLE AS i, link_id FROM l UNION ALL SELECT v, NULL::DOUBLE, wid, link_id FROM l),
+_J = fx.with_("links") + """, l AS (SELECT * FROM links), io AS (SELECT u AS node, wid AS o, NULL::DOUBLE AS i, link_id FROM l UNION ALL SELECT v, NULL::DOUBLE, wid, link_id FROM l),
 j AS (SELECT node, count(o) AS n_out, count(i) AS n_in, max(o) / min(o) AS ro, max(i) / min(i) AS ri FROM io GROUP BY node HAVING count(*) = 3),
 k AS (SELECT node, CASE WHEN n_in = 1 AND n_out = 2 THEN 'b' WHEN n_in = 2 AND n_out = 1 THEN 'c' END AS jtype, CASE WHEN n_out = 2 AND n_in = 1 THEN ro WHEN n_in = 2 AND n_out = 1 THEN ri END AS width_ratio FROM j)"""
 
 
 @register("junction_type", _J + " SELECT node, jtype, round(width_ratio, 6) AS width_ratio FROM k")
 def junction_type(spark, sf):
-    return op.junction_types(_links(spark, sf).where("link_id % 7 < 3")).select("node", "jtype", F.round("width_ratio", 6).alias("width_ratio"))
+    return op.junction_types(_links(spark, sf)).select("node", "jtype", F.round("width_ratio", 6).alias("width_ratio"))
 
 
 @register("node_qr", _J + ", q AS (SELECT u AS node, count(*) AS n_out, max(wid) / min(wid) AS qr FROM l GROUP BY u HAVING count(*) = 2), d AS (SELECT node, count(*) AS n FROM io GROUP BY node) SELECT node, round(qr, 6) AS qr FROM q JOIN d USING (node) WHERE n = 3 OR (n = 2 AND node % 2 = 0)")
 def node_qr(spark, sf):
-    links = _links(spark, sf).where("link_id % 7 < 3")
+    links = _links(spark, sf)
     inlets = op.degrees(links).where("node % 2 = 0").select("net_id", "node")
     return op.split_ratios(links, inlets).select("node", F.round("qr", 6).alias("qr"))
 
 
-@register("link_super_apex", _L + ", t AS (SELECT node, sum(wid) AS wid FROM ends JOIN links USING (link_id) WHERE node < 4 GROUP BY node) SELECT link_id, u, v, wid FROM links UNION ALL SELECT (SELECT max(link_id) FROM links) + row_number() OVER (ORDER BY node), (SELECT min(node) - 1 FROM ends), node, wid FROM t")
+@register("link_super_apex", _L + ", t AS (SELECT node, sum(wid) AS wid FROM ends JOIN links USING (link_id) WHERE node < 4 GROUP BY node) SELECT link_id, u, v, round(wid, 6) AS wid FROM links UNION ALL SELECT (SELECT max(link_id) FROM links) + row_number() OVER (ORDER BY node), (SELECT min(node) - 1 FROM ends), node, round(wid, 6) FROM t")
 def link_super_apex(spark, sf):
     links = _links(spark, sf)
     inlets = op.degrees(links).where("node < 4").select("net_id", "node")
-    return op.add_super_apex(links, inlets).select("link_id", "u", "v", "wid")
-
-
-@register("link_single_inlet")
-def link_single_inlet(spark, sf):
-    links = _links(spark, sf).where("link_id % 5 = 0")
-    nodes = op.degrees(links)
-    return op.single_inlet(links, nodes.where("node < 5").select("net_id", "node"), nodes.where("node > 20").select("net_id", "node")).select("link_id", "u", "v")
+    return op.add_super_apex(links, inlets).select("link_id", "u", "v", F.round("wid", 6).alias("wid"))
 
 
 _VEC = ", vec AS (SELECT link_id, CAST(v * 37 % 101 - u * 37 % 101 AS DOUBLE) AS dx, CAST(v * 53 % 89 - u * 53 % 89 AS DOUBLE) AS dy, u, v FROM l)"
@@ -199,12 +200,12 @@ _VEC = ", vec AS (SELECT link_id, CAST(v * 37 % 101 - u * 37 % 101 AS DOUBLE) AS
 @register("junction_angles", _J + _VEC + """, two AS (SELECT k.node, link_id, dx, dy FROM k JOIN vec ON jtype = 'b' AND vec.u = k.node UNION ALL SELECT k.node, link_id, -dx, -dy FROM k JOIN vec ON jtype = 'c' AND vec.v = k.node),
 a AS (SELECT node, degrees(max(atan2(dy, dx)) - min(atan2(dy, dx))) AS t FROM two GROUP BY node) SELECT node, round(least(t, 360 - t), 5) AS int_ang FROM a""")
 def junction_angles(spark, sf):
-    links = _links(spark, sf).where("link_id % 7 < 3")
+    links = _links(spark, sf)
     v = links.select("net_id", "link_id", (F.col("v") * 37 % 101 - F.col("u") * 37 % 101).cast("double").alias("dx"), (F.col("v") * 53 % 89 - F.col("u") * 53 % 89).cast("double").alias("dy"))
     return op.junction_angles(links, v).select("node", F.round("int_ang", 5).alias("int_ang"))
 
 
-@register("merge_lists", "WITH RECURSIVE l AS (SELECT c_custkey % 60 AS list_id, c_custkey * 7 % 211 AS item FROM customer WHERE c_custkey < 90), e AS (SELECT DISTINCT a.list_id AS a, b.list_id AS b FROM l a JOIN l b USING (item)), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT DISTINCT list_id, item, label FROM l JOIN (SELECT a AS list_id, min(b) AS label FROM r GROUP BY a) USING (list_id)")
+@register("merge_lists", "WITH RECURSIVE l AS (SELECT c_custkey % 60 AS list_id, c_custkey * 7 % 211 AS item FROM customer), e AS (SELECT DISTINCT a.list_id AS a, b.list_id AS b FROM l a JOIN l b USING (item)), r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON e.a = r.b) SELECT DISTINCT list_id, item, label FROM l JOIN (SELECT a AS list_id, min(b) AS label FROM r GROUP BY a) USING (list_id)")
 def merge_lists(spark, sf):
-    lists = fx.table(spark, sf, "customer").where("c_custkey < 90").select((F.col("c_custkey") % 60).alias("list_id"), (F.col("c_custkey") * 7 % 211).alias("item")).distinct()
+    lists = fx.table(spark, sf, "customer").select((F.col("c_custkey") % 60).alias("list_id"), (F.col("c_custkey") * 7 % 211).alias("item")).distinct()
     return op.merged(lists)

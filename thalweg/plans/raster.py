@@ -28,10 +28,10 @@ def px_neighbors8(spark, sf):
 _PLACE = "((dr + 1) * 3 + dc + 1 - CASE WHEN dr > 0 OR (dr = 0 AND dc > 0) THEN 1 ELSE 0 END)"
 
 
-@register("px_neighbor_values", _ON + f" SELECT p.image_id, p.r, p.c, CAST({_PLACE} AS INTEGER) AS place, q.v FROM cells p CROSS JOIN offsets o LEFT JOIN cells q ON q.image_id = p.image_id AND q.r = p.r + o.dr AND q.c = p.c + o.dc WHERE p.c < 6")
+@register("px_neighbor_values", _ON + f" SELECT p.image_id, p.r, p.c, CAST({_PLACE} AS INTEGER) AS place, q.v FROM cells p CROSS JOIN offsets o LEFT JOIN cells q ON q.image_id = p.image_id AND q.r = p.r + o.dr AND q.c = p.c + o.dc")
 def px_neighbor_values(spark, sf):
     cells = fx.cells(spark, sf)
-    return op.neighbour_values(cells, fx.images(spark, sf)).where("c < 6")
+    return op.neighbour_values(cells, fx.images(spark, sf))
 
 
 _CONN = """ SELECT p.image_id, p.r, p.c, count(q.r) AS conn FROM pixels p CROSS JOIN offsets o JOIN images i ON i.image_id = p.image_id
@@ -129,11 +129,11 @@ def px_overlay(spark, sf):
     return op.overlay(fx.pixels(spark, sf), other)
 
 
-_BOX = ", p2 AS (SELECT * FROM pixels WHERE r > 3 AND c BETWEEN 5 AND 50 AND (r * c) % 3 = 0), box AS (SELECT image_id, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM p2 GROUP BY 1)"
+_BOX = ", p2 AS (SELECT image_id, r, c FROM cells WHERE v > CAST(0.38 AS FLOAT)), box AS (SELECT image_id, min(r) AS r0, max(r) AS r1, min(c) AS c0, max(c) AS c1 FROM p2 GROUP BY 1)"
 
 
 def _boxed(spark, sf):
-    return op.crop(fx.pixels(spark, sf).where("r > 3 AND c BETWEEN 5 AND 50 AND (r * c) % 3 = 0"), fx.images(spark, sf))
+    return op.crop(fx.pixels(spark, sf, 0.38), fx.images(spark, sf))
 
 
 @register("px_crop", _ON + _BOX + " SELECT p.image_id, r - r0 AS r, c - c0 AS c FROM p2 p JOIN box b ON b.image_id = p.image_id")

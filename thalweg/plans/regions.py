@@ -20,7 +20,7 @@ def register(name, sql=None):
 
 
 _SETS = fx.with_("cells", "images", "offsets")
-_ON = _SETS + ", pixels AS (SELECT image_id, r, c FROM cells WHERE v > CAST(0.0 AS FLOAT) AND image_id < 3 AND c < 24), px AS (SELECT image_id, r, c, CAST(r AS BIGINT) * ncols + c AS n FROM pixels JOIN images USING (image_id))"
+_ON = _SETS + ", pixels AS (SELECT image_id, r, c FROM cells WHERE v > CAST(0.1 AS FLOAT)), px AS (SELECT image_id, r, c, CAST(r AS BIGINT) * ncols + c AS n FROM pixels JOIN images USING (image_id))"
 _OFF = _SETS + ", pixels AS (SELECT image_id, r, c FROM cells WHERE NOT (v > CAST(-0.05 AS FLOAT))), px AS (SELECT image_id, r, c, CAST(r AS BIGINT) * ncols + c AS n FROM pixels JOIN images USING (image_id))"
 
 
@@ -36,7 +36,7 @@ _WITH8, _WITH4 = _ON + _labels(), _ON + _labels(_SIDES)
 
 
 def _pixels(spark, sf):
-    return fx.pixels(spark, sf, 0.0).where("c < 24 AND image_id < 3")
+    return fx.pixels(spark, sf)
 
 
 @register("px_components", _WITH4 + " SELECT image_id, r, c, label FROM lab")

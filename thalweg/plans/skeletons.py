@@ -65,17 +65,17 @@ def mesh_cells(spark, sf):
 
 @register("mesh_valley")
 def mesh_valley(spark, sf):
-    lines = series.resample(fx.series(spark, sf).where("series_id < 20"), 40)
+    lines = series.resample(fx.series(spark, sf), 40)
     return mesh.valley_mesh(series.smooth(lines, window=9), 20.0, 5.0).withColumns({c: F.round(c, 4) for c in ("x1", "y1", "x2", "y2")})
 
 
 @register("line_offset")
 def line_offset(spark, sf):
-    return mesh.offset(fx.series(spark, sf).where("series_id < 20"), 2.0).withColumns({c: F.round(c, 5) for c in ("x", "y")})
+    return mesh.offset(fx.series(spark, sf), 2.0).withColumns({c: F.round(c, 5) for c in ("x", "y")})
 
 
 @register("series_aligned")
 def series_aligned(spark, sf):
-    s = fx.series(spark, sf).where("series_id < 10")
+    s = fx.series(spark, sf)
     both = s.select("series_id", F.lit("a").alias("side"), "seq", F.col("x").alias("v")).unionByName(s.where("seq % 2 = 0").select("series_id", F.lit("b").alias("side"), "seq", F.col("x").alias("v")))
     return mesh.aligned(both)
