@@ -25,6 +25,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from thalweg.llm.shared import small_batches
+from thalweg.llm.tokens import token_numbers
+
 _MARK = re.compile(r"<(\\*)(/?turn)")
 _MARKED = re.compile(r"<\\(\\*)(/?turn)")
 _HEAD = re.compile(r"<turn ([^ >]*)( again)?>\n")
@@ -145,8 +148,7 @@ def format_conversations(df: DataFrame, tokenizer: str, budget: Budget = Budget(
 
     tokenizer: path, on every executor, of a tokenizers file that counts a turn's tokens.
     """
-    from thalweg.llm.tokens import token_numbers
-
+    small_batches(df.sparkSession)
     rows = df.select(F.col(f"`{conv}`").alias("conv_id"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("tokens", token_numbers(tokenizer)("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text", "tokens")

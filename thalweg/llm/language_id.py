@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from thalweg.llm.shared import small_batches
+
 UNDETERMINED = "und"
 _letters: list[np.ndarray] = []
 
@@ -93,6 +95,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", by: Column | None
     A language with more than rows_per_language rows is learned from about that many: those with the
     smallest hash of by (by default of the text). Only profiles and row counts come to the driver.
     """
+    small_batches(df.sparkSession)
     rows = df.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), (F.xxhash64(F.col(f"`{text}`")) if by is None else F.xxhash64(by)).alias("by"))
     rows = rows.where("lang is not null and text is not null")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -120,6 +123,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", by: Column | None
 
 def predict(df: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """df with lang_pred and score, 0 for the farthest to 1 for equal rank orders."""
+    small_batches(df.sparkSession)
     learned, size = profiles.grams, profiles.size
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.shared import Spans, mix64, text_blocks, window_hashes, word_spans
+from thalweg.llm.shared import Spans, mix64, small_batches, text_blocks, window_hashes, word_spans
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -149,11 +149,12 @@ def judge_block(data: np.ndarray, offsets: np.ndarray, rules: Rules) -> tuple[di
 
 def _judge(texts: pa.Array, rules: Rules, clean: bool) -> pa.StructArray:
     parts: list[dict[str, np.ndarray]] = []
-    cleaned: list[str | None] = []
-    for row, n, data, offsets in text_blocks(texts):
+    texts_out: list[pa.Array] = []
+    for row, n, data, offsets in text_blocks(texts, 1 << 19):
         out, line_from, line_to, removed = judge_block(data, offsets, rules)
         parts.append(out)
         if clean:
+            cleaned: list[str | None] = []
             touched = np.zeros(n, bool)
             touched[np.searchsorted(offsets, line_from[removed], side="right") - 1] = True
             gone = {(a, b) for a, b in zip(line_from[removed].tolist(), line_to[removed].tolist(), strict=True)}
@@ -167,13 +168,15 @@ def _judge(texts: pa.Array, rules: Rules, clean: bool) -> pa.StructArray:
                         kept.append(line)
                     at += len(line) + 1
                 cleaned.append(b"\n".join(kept).decode("utf-8", "replace"))
+            texts_out.append(pa.array(cleaned, pa.string()))
     columns = [pa.array(np.concatenate([p[c] for p in parts]) if parts else np.zeros(0, bool if c in ("base_failed", "kept") else np.int64)) for c in (*_COUNTS, "base_failed", "kept")]
     names = [*_COUNTS, "base_failed", "kept"]
-    return pa.StructArray.from_arrays(columns + [pa.array(cleaned, pa.string())] * clean, names + ["cleaned_text"] * clean)
+    return pa.StructArray.from_arrays(columns + [pa.concat_arrays(texts_out) if texts_out else pa.array([], pa.string())] * clean, names + ["cleaned_text"] * clean)
 
 
 def quality(df: DataFrame, text: str = "text", rules: Rules = Rules(), cleaned: bool = True) -> DataFrame:
     """df with the columns of the judgement, and with cleaned also cleaned_text: the text without removed lines."""
+    small_batches(df.sparkSession)
     values = {f.name: getattr(rules, f.name) for f in fields(rules)}
 
     @F.arrow_udf(_TYPE + (", cleaned_text: string>" if cleaned else ">"))

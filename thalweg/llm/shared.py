@@ -12,8 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Bytes of text that a Python worker handles at once; a longer single text is a block of its own.
 BLOCK_BYTES = 1 << 20
 
-#: Rows of a batch that goes to a Python worker while a table is written.
-BATCH_ROWS = 2000
+#: Rows of a batch that goes to a Python worker, at most.
+BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 #: The six characters that end a word (fixed values): space, tab, \n, \v, \f, \r.
@@ -33,16 +33,18 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/thalweg-checkpoints"
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send at most BATCH_ROWS rows at once to Python workers, as texts may be long; it stays so."""
+    if int(spark.conf.get(_BATCH)) > BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+
+
 def written(df: DataFrame, label: str, **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends here and a lost executor costs no earlier stage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    kept = spark.conf.get(_BATCH)
-    spark.conf.set(_BATCH, str(min(int(kept), BATCH_ROWS)))  # long texts: smaller batches for the Python workers
-    try:
-        df.write.options(**options).parquet(path)
-    finally:
-        spark.conf.set(_BATCH, kept)
+    small_batches(spark)
+    df.write.options(**options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

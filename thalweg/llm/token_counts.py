@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.shared import Spans, text_blocks
+from thalweg.llm.shared import Spans, small_batches, text_blocks
 
 #: The character for a space, and what an unknown character scores below the least piece.
 SPACE = "▁"
@@ -306,6 +306,7 @@ def token_counts(df: DataFrame, vocabulary: str, text: str = "text", into: str =
     vocabulary: path of a sentencepiece model file, on every executor, whose pieces and scores are the unigram vocabulary.
     remembered: chunk counts kept per worker; the results don't depend on it.
     """
+    small_batches(df.sparkSession)
 
     @F.arrow_udf("bigint")
     def counted(texts: pa.Array) -> pa.Array:
