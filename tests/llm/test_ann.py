@@ -47,6 +47,40 @@ def test_ties_copies_and_unusable_rows(spark):
     assert [(r.query_id, r.vec_id) for r in few] == [(300, 301)]
 
 
+@pytest.mark.parametrize("distinct", [2, 5, 20, 24, 47, 60])
+def test_small_tables_are_searched_whole(spark, distinct):
+    rng = np.random.default_rng(distinct)
+    x = rng.normal(size=(distinct, 64)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in nearest(df, F.col("vec_id") % 7 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    for q in range(0, distinct, 7):
+        s = cosines(np.repeat(x[q : q + 1].astype(float), distinct, 0), x.astype(float))
+        s[q] = -2
+        assert got[q] == np.argsort(-s)[: min(5, distinct - 1)].tolist(), q
+
+
+def test_rows_before_a_hot_key_see_it(spark):
+    # on the one curve of one dimension: keys 0 to 31, half of the rows on one key, queries on the key before
+    width = 6.5 / 32
+    near, hot = 1.0 * np.ones(1500), -1.0 * np.ones(1500)
+    rng = np.random.default_rng(3)
+    near_copies = np.stack([near, rng.uniform(0, 1e-3, 1500)], axis=1)
+    others = np.stack([hot, rng.uniform(-1, 1, 1500)], axis=1)
+    queries = np.stack([np.ones(12), np.tan(width * np.arange(-6, 6) / 2 + 0.05)], axis=1)
+    x = np.float32(np.concatenate([queries, near_copies, others]))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    got = defaultdict(list)
+    for r in nearest(df, F.col("vec_id") < 12, curves=1, bits=5, projected=1).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.score)
+    for q in range(12):
+        s = cosines(np.repeat(x[q : q + 1].astype(float), len(x), 0), x.astype(float))
+        s[q] = -2
+        assert len(got[q]) == 5, q
+        assert got[q][0] >= np.cos(0.7), q  # the cluster or a query at its side, not the rows across
+
+
 def test_best_in_block():
     rng = np.random.default_rng(2)
     q, c, ids = rng.normal(size=(70, 8)), rng.normal(size=(500, 8)), rng.permutation(500)

@@ -7,8 +7,10 @@ every curve, where all candidates are scored exactly; the best of all curves are
 
 Equal vectors are one candidate that keeps its k + 1 smallest ids, which is all that can be among k
 nearest, so a vector that is very common costs no more than another; queries with equal vectors
-are searched once. A block holds a fixed share of the table; where that is more than a task should
-hold, the block's rows are dealt over several tasks by hash, and each sees the block's queries.
+are searched once. A block holds a fixed share of the table, more where many rows have one key, and no block
+is empty: blocks are numbered by distinct quantiles. A block of more rows than a task should hold is dealt
+over several tasks by hash, and each sees the block's queries. Small tables have fewer blocks, and the
+smallest one, where every candidate is scored.
 
 On vectors with near neighbours a few curves find them. On nearly random vectors in many dimensions
 no ordering keeps neighbours together, so the share of rows that is scored has to be large; the
@@ -31,6 +33,8 @@ from thalweg.llm.shared import written
 
 #: Rows of a block that one task scores against the block's queries.
 TASK_ROWS = 20_000
+#: Rows a block has on average at least, or four times k + 1; smaller tables have fewer blocks.
+BLOCK_ROWS = 64
 
 
 def hilbert_keys(cells: np.ndarray, bits: int) -> np.ndarray:
@@ -132,7 +136,9 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
 
     groups = few.groupBy("vec").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
     groups = written(groups.select(F.col("ids")[0].alias("rep"), "ids", "vec", packed("vec").alias("data")), "vectors")
-    total = groups.count()
+    blocks = max(1, min(blocks, groups.count() // max(BLOCK_ROWS, 4 * (k + 1))))
+    if blocks <= 3:  # a query would see nearly all of them
+        blocks = curves = 1
     asked = written(rows.where("is_query").select("vec_id", "vec").distinct().join(groups.select("rep", "vec"), "vec").select(F.col("vec_id").alias("query_id"), "rep"), "queries")
 
     def keyed(batches):
@@ -145,10 +151,10 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(some.column(0).to_numpy(), curves)), pa.array(np.tile(np.arange(curves, dtype=np.int32), len(some))), pa.array(keys.ravel())], ["rep", "curve", "key"])
 
     keys = written(groups.select("rep", "data").mapInArrow(keyed, "rep long, curve int, key long"), "keys")
-    cuts = keys.groupBy("curve").agg(F.percentile_approx("key", [b / blocks for b in range(1, blocks)], 20 * blocks).alias("cuts")).collect()
-    edges = np.zeros((curves, blocks - 1), np.int64)  # curves times blocks numbers, whatever the table's size
-    for r in cuts:
-        edges[r.curve] = r.cuts
+    edges = [np.zeros(0, np.int64)] * curves  # at most curves times blocks numbers, whatever the table's size
+    if blocks > 1:
+        for r in keys.groupBy("curve").agg(F.percentile_approx("key", [b / blocks for b in range(1, blocks)], 20 * blocks).alias("cuts")).collect():
+            edges[r.curve] = np.unique(r.cuts)  # cuts are keys of the table, so a block from one to the next has rows
 
     @F.arrow_udf("int")
     def block_of(curve: pa.Array, key: pa.Array) -> pa.Array:
@@ -159,12 +165,13 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
         return pa.array(out)
 
     placed = keys.withColumn("block", block_of("curve", "key")).select("rep", "curve", "block")
-    parts = max(1, -(-total // (blocks * TASK_ROWS)))
+    parts = placed.groupBy("curve", "block").agg(F.ceil(F.count("*") / TASK_ROWS).cast("int").alias("parts"))
+    parts = F.broadcast(written(parts, "parts"))  # a row per block
     vectors = groups.select("rep", "data")
-    candidates = placed.join(vectors, "rep").withColumn("part", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int"))
+    candidates = placed.join(vectors, "rep").join(parts, ["curve", "block"]).withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
     queries = placed.join(asked.select("rep").distinct().join(vectors, "rep"), "rep")
-    queries = queries.withColumn("block", F.explode(F.array(*[F.col("block") + d for d in (-1, 0, 1)]))).where(f"block between 0 and {blocks - 1}")
-    queries = queries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    queries = queries.withColumn("block", F.explode(F.array(*[F.col("block") + d for d in (-1, 0, 1)])))
+    queries = queries.join(parts, ["curve", "block"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
 
     def score(_key, own: pd.DataFrame, asking: pd.DataFrame) -> pd.DataFrame:
         if not len(own) or not len(asking):
