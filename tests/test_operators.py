@@ -129,6 +129,37 @@ def brute_spurs(edges, keep):
         edges = {k: e for k, e in edges.items() if k not in loose}
 
 
+def test_centerline_is_the_longest_over_all_ends(spark):
+    import heapq
+
+    from thalweg.plans import registered
+
+    sf, got, images = "/root/testdata/sf0.001", defaultdict(list), defaultdict(set)
+    for p in registered()["centerline"][0](spark, sf).orderBy("image_id", "seq").collect():
+        got[p.image_id].append((p.r, p.c))
+    for p in registered()["skeleton"][0](spark, sf).collect():
+        images[p.image_id].add((p.r, p.c))
+    step = lambda p, q: np.hypot(p[0] - q[0], p[1] - q[1])
+    near = lambda on, p: [q for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (q := (p[0] + a, p[1] + b)) in on]
+    assert set(got) == set(images)
+    for image, on in images.items():
+        ends, longest = [p for p in on if len(near(on, p)) == 1], 0.0
+        for start in ends:  # over single pixels, without links
+            dist, heap = {}, [(0.0, start)]
+            while heap:
+                d, p = heapq.heappop(heap)
+                if p in dist:
+                    continue
+                dist[p] = d
+                for q in near(on, p):
+                    heapq.heappush(heap, (d + step(p, q), q))
+            longest = max(longest, *(dist.get(p, 0.0) for p in ends))
+        path = got[image]
+        assert set(path) <= on and {path[0], path[-1]} <= set(ends)
+        steps = [step(p, q) for p, q in zip(path, path[1:], strict=False)]
+        assert max(steps) < 1.5 and sum(steps) == pytest.approx(longest), image
+
+
 def test_spurs_bridges_and_cycles(spark):
     rng = random.Random(4)
     edges = {k: (rng.randrange(30), rng.randrange(30)) for k in range(40)}

@@ -212,35 +212,52 @@ def pixel_turns(link_pixels: DataFrame, walk: int = 4) -> DataFrame:
     return link_pixels.withColumn("turn", F.when(whole, turn))
 
 
-def longest_path(pixels: DataFrame, most: int = 100) -> DataFrame:
-    """image_id, seq, r, c: of the shortest paths between a skeleton's end pixels the longest; of more than `most` ends those farthest apart are tried."""
+def contracted(on: set[tuple[int, int]]) -> tuple[list[tuple[int, int]], dict[tuple[int, int], dict[tuple[int, int], tuple[float, list]]]]:
+    """End pixels, and the graph of all pixels without two neighbours: pixel -> pixel -> (length, pixels between) of the shortest run that joins them."""
+    near = {p: [q for dr, dc in RING if (q := (p[0] + dr, p[1] + dc)) in on] for p in on}
+    graph: dict = {p: {} for p in on if len(near[p]) != 2}
+    for p in sorted(graph):
+        for q in near[p]:
+            run, last, size = [], p, _step(p, q)
+            while q not in graph:
+                run.append(q)
+                last, q = q, near[q][0] if near[q][0] != last else near[q][1]
+                size += _step(last, q)
+            if q != p and size < graph[p].get(q, (float("inf"),))[0] - 1e-9:
+                graph[p][q] = (size, run)
+    return sorted(p for p in on if len(near[p]) == 1), graph
+
+
+def _step(p: tuple[int, int], q: tuple[int, int]) -> float:
+    return 1.0 if p[0] == q[0] or p[1] == q[1] else 2**0.5
+
+
+def longest_path(pixels: DataFrame) -> DataFrame:
+    """image_id, seq, r, c: of the shortest paths between a skeleton's end pixels, all of them, the longest; of equal ones that from the first end in reading order."""
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         import heapq
 
         on = set(zip(frame["r"].tolist(), frame["c"].tolist(), strict=True))
-        near = {p: [q for dr, dc in RING if (q := (p[0] + dr, p[1] + dc)) in on] for p in on}
-        ends = sorted(p for p in on if len(near[p]) == 1) or sorted(on)[:1]
-        if len(ends) > most:
-            by = sorted(ends, key=lambda p: (p[0] + p[1], p)) + sorted(ends, key=lambda p: (p[0] - p[1], p))
-            ends = sorted({*by[: most // 4], *by[len(ends) - most // 4 : len(ends) + most // 4], *by[-(most // 4) :]})
-        best: tuple[float, list] = (-1.0, [])
+        ends, graph = contracted(on)
+        best: tuple[float, list] = (-1.0, sorted(on)[:1])
         for start in ends:
             dist, back, heap = {start: 0.0}, {}, [(0.0, start)]
             while heap:
                 d, p = heapq.heappop(heap)
                 if d > dist[p]:
                     continue
-                for q in near[p]:
-                    e = d + (1.0 if p[0] == q[0] or p[1] == q[1] else 2**0.5)
-                    if e < dist.get(q, float("inf")) - 1e-12:
+                for q, (size, _) in graph[p].items():
+                    e = d + size
+                    if e < dist.get(q, float("inf")) - 1e-9:
                         dist[q], back[q] = e, p
                         heapq.heappush(heap, (e, q))
-            far = max((p for p in ends if p in dist), key=lambda p: (dist[p], p))
+            far = max((p for p in ends if p in dist), key=lambda p: (round(dist[p], 6), p))
             if dist[far] > best[0] + 1e-9:
                 path = [far]
                 while path[-1] != start:
-                    path.append(back[path[-1]])
+                    before = back[path[-1]]
+                    path += [*graph[before][path[-1]][1][::-1], before]
                 best = (dist[far], path[::-1])
         path = best[1]
         return pd.DataFrame({"image_id": frame["image_id"].iloc[0], "seq": np.arange(len(path), dtype=np.int32), "r": np.array([p[0] for p in path], np.int32), "c": np.array([p[1] for p in path], np.int32)})

@@ -45,7 +45,7 @@ def skeleton_turns(spark, sf):
 
 @register("centerline")
 def centerline(spark, sf):
-    return skeleton.longest_path(_skeleton(spark, sf), most=12)
+    return skeleton.longest_path(_skeleton(spark, sf))
 
 
 _T = fx.with_("series") + """, d AS (SELECT series_id, seq, x, y, coalesce(lead(x) OVER w, x) - coalesce(lag(x) OVER w, x) AS dx, coalesce(lead(y) OVER w, y) - coalesce(lag(y) OVER w, y) AS dy FROM series WINDOW w AS (PARTITION BY series_id ORDER BY seq)),
