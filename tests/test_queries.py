@@ -28,3 +28,18 @@ def test_query(spark, duck, name):
     columns = sorted(df.columns)
     want = duck.sql(f"SELECT {', '.join(columns)} FROM ({sql})").fetchall()
     assert plain([tuple(r) for r in df.select(*columns).collect()]) == plain([tuple(r) for r in want])
+
+
+def test_whole_flow_graph(spark, duck):
+    rows = lambda name: {tuple(r) for r in registered()[name][0](spark, SF).select("u", "v", "w").collect()}
+    whole = rows("adj_normalized_whole")
+    lines = duck.sql("SELECT sum(l_quantity) FROM lineitem").fetchall()[0][0]
+    for low, high in ((0, 1), (100, 200), (1000, 2000)):  # every layer carries all of it
+        assert sum(w for u, _, w in whole if low <= u < high) == pytest.approx(lines)
+    pivot = registered()["adj_pivot_whole"][0](spark, SF).collect()
+    assert {(r.u, int(c[1:]), w) for r in pivot for c, w in r.asDict().items() if c != "u" and w} == whole
+
+
+@pytest.mark.parametrize("name", ["dag_flux_whole", "dag_membership_whole", "dag_entropy_whole", "dag_leakage_whole", "dag_paths_whole", "dag_dpd_whole", "dag_fsi_whole", "dag_tmi_whole", "dir_shortest_dag_whole"])
+def test_whole_flow_query(spark, duck, name):
+    test_query(spark, duck, name)

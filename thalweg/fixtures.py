@@ -45,8 +45,8 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("series_id"), seq.cast("int").alias("seq"), F.dayofmonth("ts").cast("double").alias("x"), F.col("value").alias("y"))
 
 
-def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """u, v, w of a layered flow graph: 0 to supplier nations to brands to customer regions."""
+def flow_edges(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
+    """u, v, w of a layered flow graph: 0 to supplier nations to brands to customer regions; thinned as the SQL's "flow" is, or whole as its "flow_whole"."""
     t = lambda n: table(spark, sf_dir, n)
     base = (
         t("lineitem")
@@ -60,8 +60,8 @@ def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     edge = lambda df, u, v: df.groupBy(u.alias("u"), v.alias("v")).agg(F.sum("q").alias("w"))
     first = edge(base, F.lit(0).cast("long"), F.col("sn") + 100)
-    second = edge(base.where("(sn * 7 + b * 3) % 5 < 2"), F.col("sn") + 100, F.col("b") + 1000)
-    third = edge(base.where("(b + cr) % 3 > 0"), F.col("b") + 1000, F.col("cr") + 10000)
+    second = edge(base if whole else base.where("(sn * 7 + b * 3) % 5 < 2"), F.col("sn") + 100, F.col("b") + 1000)
+    third = edge(base if whole else base.where("(b + cr) % 3 > 0"), F.col("b") + 1000, F.col("cr") + 10000)
     return first.unionByName(second).unionByName(third)
 
 
@@ -108,6 +108,7 @@ e AS (SELECT CAST(0 AS BIGINT) AS u, 100 + sn AS v, sum(q) AS w FROM base GROUP
     "points": "points AS (SELECT c_custkey AS node_id, CAST(c_custkey % 97 AS DOUBLE) AS x, c_acctbal AS y FROM customer)",
     "sets": "sets AS (SELECT o_custkey AS set_id, CAST((l_orderkey * 10 + l_linenumber) * 64 + l_partkey % 50 AS BIGINT) AS ord, l_partkey % 50 AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
 }
+SQL["flow_whole"] = SQL["flow"].replace(" WHERE (sn * 7 + b * 3) % 5 < 2", "").replace(" WHERE (b + cr) % 3 > 0", "")
 
 
 def with_(*names: str) -> str:

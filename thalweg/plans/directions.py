@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import functions as F
 
 from thalweg import fixtures as fx
@@ -63,12 +65,15 @@ def dir_shortest(spark, sf):
 
 
 @register("dir_shortest_dag", fx.with_("flow") + """, w AS (SELECT 0::BIGINT AS node, 0.0::DOUBLE AS dist, 0 AS k UNION ALL SELECT e.v, w.dist + e.w, w.k + 1 FROM w JOIN e ON e.u = w.node WHERE w.k < 3) SELECT node, round(min(dist), 6) AS dist FROM w GROUP BY node""")
-def dir_shortest_dag(spark, sf):
-    e = fx.flow_edges(spark, sf).withColumn("net_id", F.lit(0).cast("long"))
+def dir_shortest_dag(spark, sf, whole=False):
+    e = fx.flow_edges(spark, sf, whole).withColumn("net_id", F.lit(0).cast("long"))
     start = e.where("u = 0").select("net_id", F.col("u").alias("node")).distinct()
     return op.shortest(e, start, "w", directed=True).select("node", F.round("dist", 6).alias("dist"))
 
 
+register("dir_shortest_dag_whole", QUERIES["dir_shortest_dag"][1].replace(fx.SQL["flow"], fx.SQL["flow_whole"]))(partial(dir_shortest_dag, whole=True))
+
+
 @register("dir_shortest_guesses")
 def dir_shortest_guesses(spark, sf):
     links = _links(spark, sf)
