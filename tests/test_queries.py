@@ -43,3 +43,43 @@ def test_whole_flow_graph(spark, duck):
 @pytest.mark.parametrize("name", ["dag_flux_whole", "dag_membership_whole", "dag_entropy_whole", "dag_leakage_whole", "dag_paths_whole", "dag_dpd_whole", "dag_fsi_whole", "dag_tmi_whole", "dir_shortest_dag_whole"])
 def test_whole_flow_query(spark, duck, name):
     test_query(spark, duck, name)
+
+
+def test_migration_of_all_pairs(spark):
+    from math import hypot
+
+    from thalweg import fixtures as fx
+
+    got = {(r.line1, r.line2, r.matcher): (r.s, r.rate) for r in registered()["migration_rates"][0](spark, SF).collect()}
+    lines, first = {}, {}
+    for p in fx.series(spark, SF).orderBy("series_id", "seq").collect():
+        lines.setdefault(p.series_id, []).append((p.x, p.y))
+    for line, path in lines.items():
+        for k in range(30):
+            (ax, ay), (bx, by), s = (2.37 + k * 0.9, -3.0), (2.11 + k, 120.5), 0.0
+            for (x, y), (x2, y2) in zip(path, path[1:], strict=False):
+                det = (x2 - x) * (by - ay) - (y2 - y) * (bx - ax)
+                if det:
+                    t = ((ax - x) * (by - ay) - (ay - y) * (bx - ax)) / det
+                    u = ((ax - x) * (y2 - y) - (ay - y) * (x2 - x)) / det
+                    if 0 <= t <= 1 and 0 <= u <= 1:
+                        first[line, k] = (s + t * hypot(x2 - x, y2 - y), x + t * (x2 - x), y + t * (y2 - y))
+                        break
+                s += hypot(x2 - x, y2 - y)
+    ids, want = sorted(lines), {}
+    for a, b in zip(ids, ids[1:], strict=False):
+        for k in range(30):
+            if (a, k) in first and (b, k) in first:
+                (s, x, y), (_, x2, y2) = first[a, k], first[b, k]
+                want[a, b, k] = (s, hypot(x - x2, y - y2) / 5)
+    assert len({p[:2] for p in want}) > 1 and set(got) == set(want)
+    for key, (s, rate) in want.items():
+        assert got[key] == pytest.approx((s, rate), abs=2e-5)
+
+
+def test_following_lines(spark):
+    from thalweg.operators import spatial
+
+    ids = [-3, 0, 1, 5, 999, 1000, 4000, 9001]
+    got = spatial.following(spark.createDataFrame([(i,) for i in ids * 2], "id long")).collect()
+    assert sorted(map(tuple, got)) == list(zip(ids, ids[1:], strict=False))

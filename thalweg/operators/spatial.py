@@ -91,18 +91,25 @@ def interpolated(rows: DataFrame, known: DataFrame) -> DataFrame:
     return out.select("series_id", "s", F.coalesce(line, F.col("a.v"), F.col("b.v")).alias("v"))
 
 
-def migration(matchers: DataFrame, line1: DataFrame, line2: DataFrame, years: float, side: float) -> DataFrame:
-    """matcher, s (along line1) and rate: distance between where a matcher crosses the two lines (segments), over the years; the first crossing of each."""
-    def first(line: DataFrame, name: str) -> DataFrame:
-        hit = crossings(line, matchers, side)
-        size = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
-        before = Window.partitionBy("id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
-        along = line.withColumn("_size", size).withColumn("_s", F.coalesce(F.sum("_size").over(before), F.lit(0.0))).select(F.col("id").alias("a_id"), F.col("seg").alias("a_seg"), "_s", "_size")
-        own = hit.join(along, ["a_id", "a_seg"]).withColumn("s", F.col("_s") + F.col("t") * F.col("_size"))
-        return own.groupBy(F.col("b_id").alias("matcher")).agg(F.min(F.struct("s", "x", "y")).alias(name))
-
-    both = first(line1, "p").join(first(line2, "q"), "matcher")
-    return both.select("matcher", F.col("p.s").alias("s"), (F.hypot(F.col("p.x") - F.col("q.x"), F.col("p.y") - F.col("q.y")) / years).alias("rate"))
+def following(lines: DataFrame, bin_size: int = 1000) -> DataFrame:
+    """line1, line2: each line's id with the next larger one there is."""
+    ids = lines.select("id").distinct().withColumn("bin", F.floor(F.col("id") / bin_size))
+    after = ids.groupBy("bin").agg(F.min("id").alias("start")).select("bin", F.lead("start").over(Window.orderBy("bin")).alias("after"))
+    own = F.lead("id").over(Window.partitionBy("bin").orderBy("id"))
+    return ids.join(after, "bin").select(F.col("id").alias("line1"), F.coalesce(own, "after").alias("line2")).where("line2 IS NOT NULL")
+
+
+def migration(matchers: DataFrame, lines: DataFrame, pairs: DataFrame, years: float, side: float) -> DataFrame:
+    """line1, line2, matcher, s (along line1) and rate: distance between where a matcher crosses the two lines (segments) of a pair (line1, line2), over the years; the first crossing of each."""
+    hit = crossings(lines, matchers, side)
+    size = F.hypot(F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1"))
+    before = Window.partitionBy("id").orderBy("seg").rowsBetween(Window.unboundedPreceding, -1)
+    along = lines.withColumn("_size", size).withColumn("_s", F.coalesce(F.sum("_size").over(before), F.lit(0.0))).select(F.col("id").alias("a_id"), F.col("seg").alias("a_seg"), "_s", "_size")
+    own = hit.join(along, ["a_id", "a_seg"]).withColumn("s", F.col("_s") + F.col("t") * F.col("_size"))
+    first = own.groupBy(F.col("a_id").alias("line"), F.col("b_id").alias("matcher")).agg(F.min(F.struct("s", "x", "y")).alias("at"))
+    of = lambda line, name: first.select(F.col("line").alias(line), "matcher", F.col("at").alias(name))
+    both = pairs.join(of("line1", "p"), "line1").join(of("line2", "q"), ["line2", "matcher"])
+    return both.select("line1", "line2", "matcher", F.col("p.s").alias("s"), (F.hypot(F.col("p.x") - F.col("q.x"), F.col("p.y") - F.col("q.y")) / years).alias("rate"))
 
 
 def wkt_line(lines: DataFrame, key: str = "series_id") -> DataFrame:

@@ -183,7 +183,7 @@ def interpolate(spark, sf):
 @register("migration_rates")
 def migration_rates(spark, sf):
     t, lines = _crossed(spark, sf)
-    return spatial.migration(t, lines.where("id = 1"), lines.where("id = 2"), 5.0, 8.0).select("matcher", F.round("s", 5).alias("s"), F.round("rate", 6).alias("rate"))
+    return spatial.migration(t, lines, spatial.following(lines), 5.0, 8.0).select("line1", "line2", "matcher", F.round("s", 5).alias("s"), F.round("rate", 6).alias("rate"))
 
 
 @register("line_wkt", fx.with_("series") + " SELECT series_id, count(*) AS n FROM series GROUP BY series_id")
