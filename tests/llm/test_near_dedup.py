@@ -129,3 +129,11 @@ def test_real_rows(spark):
     df = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").where(F.length("text") < 6000).limit(500)
     rows = [(r.doc_id, r.text) for r in df.collect()]
     assert {r.doc_id: r.class_id for r in near_duplicates(df).collect()} == brute(rows)
+
+
+def test_one_id_on_several_texts(spark):
+    rng = random.Random(5)
+    texts = [" ".join(f"w{rng.randrange(5000)}" for _ in range(120)) for _ in range(6)]
+    rows = [(1, t) for t in texts] + [(10 + i, t + " more") for i, t in enumerate(texts)] + [(30, "one of a kind and like no other text at all")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(1, 1)] * 6 + [(10 + i, 1) for i in range(6)] + [(30, 30)]

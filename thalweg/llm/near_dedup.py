@@ -90,6 +90,20 @@ def darts(rows: np.ndarray, hashes: np.ndarray, weights: np.ndarray, n: int, k:
     return out
 
 
+def text_hashes(words: np.ndarray, word_rows: np.ndarray, n: int) -> list[np.ndarray]:
+    """Two 64-bit hashes of each of n texts, from its words' hashes in order."""
+    number = np.bincount(word_rows, minlength=n)
+    place = np.arange(len(words)) - (np.cumsum(number) - number)[word_rows]
+    sums = []
+    with np.errstate(over="ignore"):
+        for salt in (np.uint64(1), np.uint64(2)):
+            of = mix64(words + mix64(place.astype(np.uint64) + salt * _SLAB))
+            total = np.zeros(n, np.uint64)
+            np.add.at(total, word_rows, of)
+            sums.append(mix64(total + number.astype(np.uint64)).view(np.int64))
+    return sums
+
+
 def _signed(df: DataFrame, size: int, k: int, weighting: str) -> DataFrame:
     """doc_id, h1 and h2 (of the words in order; null without words) and signature (null with fewer words than a shingle)."""
 
@@ -98,16 +112,8 @@ def _signed(df: DataFrame, size: int, k: int, weighting: str) -> DataFrame:
             for at, n, data, offsets in text_blocks(batch.column(1)):
                 row, hashes, counts, words, word_rows = shingles(data, offsets, size)
                 signatures = darts(row, hashes, counts.astype(float) if weighting == "count" else np.ones(len(row)), n, k)
-                number = np.bincount(word_rows, minlength=n)
-                place = np.arange(len(words)) - (np.cumsum(number) - number)[word_rows]
-                with np.errstate(over="ignore"):
-                    sums = []
-                    for salt in (np.uint64(1), np.uint64(2)):
-                        of = mix64(words + mix64(place.astype(np.uint64) + salt * _SLAB))
-                        total = np.zeros(n, np.uint64)
-                        np.add.at(total, word_rows, of)
-                        sums.append(mix64(total + number.astype(np.uint64)).view(np.int64))
-                none, short = number == 0, np.bincount(row, minlength=n) == 0
+                sums = text_hashes(words, word_rows, n)
+                none, short = np.bincount(word_rows, minlength=n) == 0, np.bincount(row, minlength=n) == 0
                 columns = [
                     batch.column(0).slice(at, n),
                     pa.array(sums[0], mask=none),
@@ -163,27 +169,27 @@ def _similarity():
 
 
 def _sets(texts: DataFrame, size: int, weighting: str) -> DataFrame:
-    """rep and set (32-bit hashes of the shingles, then their weights) of texts (rep, text)."""
+    """rep and set (32-bit hashes of the shingles, then their weights) of texts (text); rep is the text's hash."""
 
     def gather(batches):
         for batch in batches:
-            for at, n, data, offsets in text_blocks(batch.column(1)):
-                row, hashes, counts, _, _ = shingles(data, offsets, size)
+            for at, n, data, offsets in text_blocks(batch.column(0)):
+                row, hashes, counts, words, word_rows = shingles(data, offsets, size)
                 cuts = np.searchsorted(row, np.arange(n + 1))
                 sets = []
                 for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                     short, first = np.unique((hashes[a:b] >> np.uint64(32)).astype(np.uint32), return_index=True)
                     weights = counts[a:b][first].astype(np.uint32) if weighting == "count" else np.ones(len(short), np.uint32)
                     sets.append(np.concatenate((short, weights)).tobytes())
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, n), pa.array(sets, pa.binary())], ["rep", "set"])
+                yield pa.RecordBatch.from_arrays([pa.array(text_hashes(words, word_rows, n)[0]), pa.array(sets, pa.binary())], ["rep", "set"])
 
     return texts.mapInArrow(gather, "rep long, set binary")
 
 
 def _sets_of(reps: DataFrame, docs: DataFrame, size: int, weighting: str) -> DataFrame:
-    """rep and set of the documents in reps (rep); a written table."""
-    wanted = written(reps, "wanted")
-    texts = docs.withColumnRenamed("doc_id", "rep").join(wanted, "rep").select("rep", "text")
+    """rep and set of the texts in reps (rep, doc_id: of a row that has the text), and of other texts of these ids; a written table."""
+    wanted = written(reps.select("doc_id").distinct(), "wanted")  # ids alone, so that it's small beside the texts
+    texts = docs.join(wanted, "doc_id").select("text")
     return written(_sets(texts, size, weighting).groupBy("rep").agg(F.max("set").alias("set")), "sets", compression="zstd")
 
 
@@ -196,9 +202,10 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     k = bands * rows
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     signed = written(_signed(docs, size, k, weighting), "signatures")
-    reps = signed.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("signature").alias("signature"))
+    reps = signed.where("h1 is not null and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"))
     reps = written(reps, "reps")
-    long = reps.where("signature is not null").groupBy("rep").agg(F.first("signature").alias("signature"))  # rows with one id are one document
+    long = reps.where("signature is not null").select(F.col("h1").alias("rep"), "signature")  # a text's key is its hash, as an id may have several texts
+    ids = reps.select(F.col("h1").alias("rep"), "doc_id")
 
     def band(batches):
         for batch in batches:
@@ -223,7 +230,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     side = lambda c: signatures.select(F.col("rep").alias(c), F.col("signature").alias(f"signature_{c}"))
     near = pairs.join(side("a"), "a").join(side("b"), "b")
     near = near.withColumn("agree", _agreement()("signature_a", "signature_b")).where(F.col("agree") >= least).select("a", "b")
-    links = _checked(written(near, "pairs"), docs, size, threshold, weighting)
+    links = _checked(written(near, "pairs"), ids, docs, size, threshold, weighting)
     labels = components(links)
 
     # Members of one bucket that are in different classes so far.
@@ -234,7 +241,7 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     open_buckets = largest.select("bucket", "n", F.col("top.label").alias("top"))
     opened = labelled.where("rep <> hub").join(open_buckets, "bucket").select("bucket", "band", "rep", "label", (F.col("label") != F.col("top")).alias("odd"), F.ceil(F.col("n") / BLOCK).cast("int").alias("blocks"))
     opened = written(opened, "open")
-    known = _sets_of(opened.select("rep").distinct(), docs, size, weighting)
+    known = _sets_of(opened.select("rep").distinct().join(ids, "rep"), docs, size, weighting)
     opened = opened.join(signatures, "rep").join(known, "rep")
     mine = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
@@ -270,15 +277,17 @@ def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     late = written(odd.groupBy("b1", "i1", "j1").cogroup(rest.groupBy("b2", "i2", "j2")).applyInPandas(compare, "a long, b long"), "late")
     if late.limit(1).count():
         labels = components(links.unionByName(late))
-    named = reps.join(labels, F.col("rep") == F.col("node"), "left").select("h1", "h2", F.coalesce("label", "rep").alias("class_id"))
-    copies = written(named.groupBy("h1", "h2").agg(F.min("class_id").alias("class_id")), "classes")
+    named = written(reps.join(labels, F.col("h1") == F.col("node"), "left").select("h1", "h2", "doc_id", "label"), "named")
+    least_ids = named.where("label is not null").groupBy("label").agg(F.min("doc_id").alias("least_id"))
+    copies = named.join(least_ids, "label", "left").select("h1", "h2", F.coalesce("least_id", "doc_id").alias("class_id"))
+    copies = written(copies, "classes")
     out = signed.select("doc_id", F.col("h1").alias("g1"), F.col("h2").alias("g2")).join(copies, (F.col("g1") == F.col("h1")) & (F.col("g2") == F.col("h2")), "left")
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _checked(pairs: DataFrame, docs: DataFrame, size: int, threshold: float, weighting: str) -> DataFrame:
+def _checked(pairs: DataFrame, ids: DataFrame, docs: DataFrame, size: int, threshold: float, weighting: str) -> DataFrame:
     """The pairs (a, b) whose sets of shingles are as similar as threshold; a written table."""
-    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct(), docs, size, weighting)
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(ids, "rep"), docs, size, weighting)
     side = lambda c: sets.select(F.col("rep").alias(c), F.col("set").alias(f"set_{c}"))
     both = pairs.join(side("a"), "a").join(side("b"), "b")
     return written(both.withColumn("s", _similarity()("set_a", "set_b")).where(F.col("s") >= threshold).select("a", "b"), "links")
