@@ -61,6 +61,12 @@ def test_small_tables_are_searched_whole(spark, distinct):
         assert got[q] == np.argsort(-s)[: min(5, distinct - 1)].tolist(), q
 
 
+def test_each_length_is_searched_among_its_own(spark):
+    rows = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.0, 1.0]), (3, [1.0, 0.0, 0.0]), (4, [1.0, 0.0, 0.1]), (5, [1.0] * 7)]
+    got = nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), F.lit(True)).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(0, 1, 1), (0, 2, 2), (1, 1, 0), (1, 2, 2), (2, 1, 1), (2, 2, 0), (3, 1, 4), (4, 1, 3)]
+
+
 def test_rows_before_a_hot_key_see_it(spark):
     # on the one curve of one dimension: keys 0 to 31, half of the rows on one key, queries on the key before
     width = 6.5 / 32

@@ -16,13 +16,15 @@ On vectors with near neighbours a few curves find them. On nearly random vectors
 no ordering keeps neighbours together, so the share of rows that is scored has to be large; the
 defaults are set for recall over 0.9 there.
 
-Defined results: rows with a null id, and vectors that are null, empty, zero, of another length than the longest,
-or with a null or non-finite component, take no part. Ties go to the smaller id. Rows with equal id
+Defined results: rows with a null id, and vectors that are null, empty, zero, or with a null or non-finite component,
+take no part. Vectors of each length are searched among their own. Ties go to the smaller id. Rows with equal id
 and vector count once.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -121,9 +123,12 @@ def nearest(df: DataFrame, is_query: Column, k: int = 5, vec_id: str = "vec_id",
     """query_id, rank (from 1), vec_id, score of the k nearest found for each row where is_query (over the id) holds."""
     rows = df.select(F.col(f"`{vec_id}`").cast("long").alias("vec_id"), F.col(f"`{vector}`").alias("vec"), is_query.alias("is_query"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("vec")))
-    dimension = rows.agg(F.max(F.size("vec"))).first()[0] or 0
-    rows = rows.where(F.size("vec") == dimension)
+    lengths = sorted(r.n for r in rows.select(F.size("vec").alias("n")).distinct().collect())
+    found = [_nearest_of_length(rows.where(F.size("vec") == n), n, k, curves, blocks, projected, bits, seed) for n in lengths or [0]]
+    return reduce(DataFrame.unionByName, found)
+
 
+def _nearest_of_length(rows: DataFrame, dimension: int, k: int, curves: int, blocks: int, projected: int, bits: int, seed: int) -> DataFrame:
     # equal vectors: the k + 1 smallest ids
     rank = F.row_number().over(Window.partitionBy("vec").orderBy("vec_id"))
     few = rows.select("vec_id", "vec").distinct().withColumn("_rank", rank).where(F.col("_rank") <= k + 1)
