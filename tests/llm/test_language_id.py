@@ -61,3 +61,10 @@ def test_edges(spark):
     assert got == [(1, "fr"), (2, "und"), (3, "und"), (4, "und"), (5, "en"), (5, "en")]
     empty = fit(rows.limit(0))
     assert {r.lang_pred for r in predict(rows, empty).collect()} == {"und"}
+
+
+def test_ties_and_a_very_long_text(spark):
+    df = spark.createDataFrame([(1, "abc abc", "two"), (2, "abc abc", "one"), (3, "xyz " * 9, "z")], "doc_id long, text string, lang string")
+    model = fit(df)
+    asked = spark.createDataFrame([(1, "abc abc"), (2, "abc " * 400_000), (3, "xyz\n" * 300_000)], "doc_id long, text string")
+    assert {r.doc_id: r.lang_pred for r in predict(asked, model).collect()} == {1: "one", 2: "one", 3: "z"}  # the first by name

@@ -137,3 +137,65 @@ def test_one_id_on_several_texts(spark):
     rows = [(1, t) for t in texts] + [(10 + i, t + " more") for i, t in enumerate(texts)] + [(30, "one of a kind and like no other text at all")]
     got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted((r.doc_id, r.class_id) for r in got) == [(1, 1)] * 6 + [(10 + i, 1) for i in range(6)] + [(30, 30)]
+
+
+def test_very_long_texts(spark):
+    rng = random.Random(8)
+    base = [f"w{rng.randrange(90_000)}" for _ in range(220_000)]
+    other = base[:]
+    for k in range(0, len(other), 2000):
+        other[k] = "changed"
+    rows = [(1, " ".join(base)), (2, " ".join(other)), (3, " ".join(base[:100_000])), (4, "a few words that are not in any other")]
+    got = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id, r.class_id) for r in got) == [(1, 1), (2, 1), (3, 3), (4, 4)]
+
+
+def test_buckets_cut_by_ranges(spark):
+    # many near copies over many partitions: every bucket's members are dealt over several tasks
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(5000)}" for _ in range(120)]
+    rows = []
+    for i in range(700):
+        copy = base[:]
+        copy[rng.randrange(120)] = f"x{i}"
+        rows.append((i, " ".join(copy)))
+    rows += [(1000 + i, " ".join(base)) for i in range(700)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(9)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        assert {r.class_id for r in near_duplicates(df).collect()} == {0}
+        assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == before["spark.sql.execution.arrow.maxRecordsPerBatch"]
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
+def test_tables_in_between_are_removed(spark):
+    import pathlib
+
+    folder = pathlib.Path(spark.conf.get("spark.checkpoint.dir"), "tables")
+    df = spark.createDataFrame([(i, "the same few words of a text " * (1 + i % 2)) for i in range(9)], "doc_id long, text string")
+    before = set(folder.iterdir()) if folder.exists() else set()
+    near_duplicates(df).collect()
+    assert len(set(folder.iterdir()) - before) <= 2  # the classes, and the rows of a table that is in no file
+
+
+def test_runs():
+    import pyarrow as pa
+
+    from thalweg.llm.near_dedup import _runs
+
+    rng = np.random.default_rng(0)
+    for _ in range(500):
+        n = int(rng.integers(0, 30))
+        b, r, d = np.sort(rng.integers(0, rng.integers(1, 12), n)), rng.permutation(n) + 100, np.arange(n)
+        cuts = [0, *sorted(rng.integers(0, n + 1, rng.integers(0, 5)).tolist()), n]
+        batches = [pa.RecordBatch.from_arrays([pa.array(x) for x in (b[i:j], d[i:j], b[i:j].astype(np.int32), r[i:j])], list("abcd")) for i, j in zip(cuts, cuts[1:], strict=False)]
+        got = [x for o in _runs(iter(batches)) for x in zip(*(c.to_pylist() for c in o.columns), strict=True)]
+        want, keys = [], sorted(set(b.tolist()))
+        for k in keys:
+            m, edge = r[b == k].tolist(), k in (keys[0], keys[-1])
+            want += [(k, k, z, m[0], len(m) if edge and z == m[0] else 0) for z in m if edge or len(m) > 1]
+        assert sorted(got) == sorted(want)

@@ -63,3 +63,10 @@ def test_frames(spark):
     got = [r.n_tokens for r in token_counts(rows, PATH).orderBy("doc_id").collect()]
     assert got[:2] == [0, 0] and got[2] == got[3] == 2 and got[4] > 100
     assert token_counts(rows.limit(0), PATH).count() == 0
+
+
+def test_a_very_long_text(whole):
+    count, want = whole
+    rng = random.Random(11)
+    text = " ".join("".join(rng.choices("abcdefghij,.\n", k=rng.randint(1, 9))) for _ in range(250_000))
+    assert len(text) > 1 << 20 and count(text) == want(text)

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thalweg.llm.shared import small_batches
+from thalweg.llm.shared import discard, written
 
 UNDETERMINED = "und"
 _letters: list[np.ndarray] = []
@@ -95,7 +95,6 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", by: Column | None
     A language with more than rows_per_language rows is learned from about that many: those with the
     smallest hash of by (by default of the text). Only profiles and row counts come to the driver.
     """
-    small_batches(df.sparkSession)
     rows = df.select(F.col(f"`{lang}`").alias("lang"), F.col(f"`{text}`").alias("text"), (F.xxhash64(F.col(f"`{text}`")) if by is None else F.xxhash64(by)).alias("by"))
     rows = rows.where("lang is not null and text is not null")
     counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
@@ -112,9 +111,10 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", by: Column | None
                     unique, n = np.unique(np.concatenate(codes), return_counts=True)
                     yield pd.DataFrame({"lang": language, "gram": unique, "n": n})
 
-    found = sample.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = written(sample.select("lang", "text").mapInPandas(count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")), "grams")
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))
     best = found.withColumn("rank", rank).where(F.col("rank") <= size).orderBy("lang", "rank").collect()
+    discard(found)
     out: dict[str, list[int]] = {k: [] for k in counts}
     for r in best:
         out[r.lang].append(r.gram)
@@ -123,7 +123,6 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", by: Column | None
 
 def predict(df: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """df with lang_pred and score, 0 for the farthest to 1 for equal rank orders."""
-    small_batches(df.sparkSession)
     learned, size = profiles.grams, profiles.size
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
@@ -133,4 +132,5 @@ def predict(df: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
         return pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], ["lang_pred", "score"])
 
     rest = [F.col(f"`{c}`") for c in df.columns if c.lower() not in ("lang_pred", "score")]
+    predicted = predicted.asNondeterministic()  # or a filter on the language would predict a second time
     return df.select(*rest, predicted(F.col(f"`{text}`")).alias("_predicted")).select(*rest, "_predicted.lang_pred", "_predicted.score")

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.shared import Spans, mix64, small_batches, text_blocks, window_hashes, word_spans
+from thalweg.llm.shared import Spans, mix64, text_blocks, window_hashes, word_spans
 
 #: Characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
@@ -176,7 +176,6 @@ def _judge(texts: pa.Array, rules: Rules, clean: bool) -> pa.StructArray:
 
 def quality(df: DataFrame, text: str = "text", rules: Rules = Rules(), cleaned: bool = True) -> DataFrame:
     """df with the columns of the judgement, and with cleaned also cleaned_text: the text without removed lines."""
-    small_batches(df.sparkSession)
     values = {f.name: getattr(rules, f.name) for f in fields(rules)}
 
     @F.arrow_udf(_TYPE + (", cleaned_text: string>" if cleaned else ">"))
@@ -185,4 +184,5 @@ def quality(df: DataFrame, text: str = "text", rules: Rules = Rules(), cleaned:
 
     new = [*_COUNTS, "base_failed", "kept", *["cleaned_text"] * cleaned]
     rest = [F.col(f"`{c}`") for c in df.columns if c.lower() not in new]
+    judged = judged.asNondeterministic()  # or a filter on the verdict would judge every text a second time
     return df.select(*rest, judged(F.col(f"`{text}`")).alias("_judged")).select(*rest, *[F.col(f"_judged.{c}").alias(c) for c in new])

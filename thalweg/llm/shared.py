@@ -1,20 +1,28 @@
-"""What several operators share: written tables, text blocks, word hashes."""
+"""What several operators share: written tables, addresses of rows, text blocks, word hashes."""
 
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+import weakref
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Bytes of text that a Python worker handles at once; a longer single text is a block of its own.
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 #: Rows of a batch that goes to a Python worker, at most.
 BATCH_ROWS = 1000
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 #: The six characters that end a word (fixed values): space, tab, \n, \v, \f, \r.
 WORD_END = (0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D)
@@ -29,23 +37,119 @@ _powers: dict[str, np.ndarray] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: the session's spark.checkpoint.dir, or one of our own only where that is unset."""
-    return spark.conf.get("spark.checkpoint.dir", None) or "/tmp/thalweg-checkpoints"
+    """The folder all executors share: the session's spark.checkpoint.dir, or one beside its tables (in the warehouse) only where that is unset."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/thalweg-work"
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Let the session send at most BATCH_ROWS rows at once to Python workers, as texts may be long; it stays so."""
-    if int(spark.conf.get(_BATCH)) > BATCH_ROWS or int(spark.conf.get(_BATCH)) <= 0:
+@contextmanager
+def bounded(spark: SparkSession) -> Iterator[None]:
+    """While a job runs: at most BATCH_ROWS rows at once go to Python workers, as texts may be long, and its shuffle files go when it ends."""
+    before = {k: spark.conf.get(k) for k in (_BATCH, _CLEAN)}
+    if not 0 < int(before[_BATCH]) <= BATCH_ROWS:
         spark.conf.set(_BATCH, str(BATCH_ROWS))
+    spark.conf.set(_CLEAN, "true")
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
 
 
-def written(df: DataFrame, label: str, **options: str) -> DataFrame:
+_paths: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
+
+def written(df: DataFrame, label: str, by: tuple[str, ...] = (), **options: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends here and a lost executor costs no earlier stage."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tables/{label}-{uuid.uuid4().hex}"
-    small_batches(spark)
-    df.write.options(**options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    with bounded(spark):
+        df.write.partitionBy(*by).options(**options).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove written tables that nothing reads any more."""
+    for table in tables:
+        path = _paths.pop(table, None)
+        if path:
+            place = table.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    """pyarrow's file system and path of a place in the shared folder."""
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def addressed(df: DataFrame, file: str = "_file", row: str = "_row") -> DataFrame:
+    """df with two more columns, the address of each row: its file's hash and its place there. A df that is no scan of Parquet files is written first."""
+    for table in (df, None):
+        table = written(df, "rows", compression="zstd") if table is None else table
+        try:
+            place = table.metadataColumn("_metadata")
+            return table.select("*", F.xxhash64(place["file_path"]).alias(file), place["row_index"].alias(row))
+        except AnalysisException:
+            if table is not df:
+                raise
+    raise AssertionError
+
+
+#: Rows of a file whose marks a task holds at once.
+MARKED = 1 << 20
+
+
+def marks(rows: DataFrame, label: str) -> DataFrame:
+    """A written table of (_file, _row, value: a long), laid out by file and runs of MARKED rows for look_up."""
+    rows = rows.select("_row", "value", F.col("_file").alias("f"), F.expr(f"_row div {MARKED}").alias("part"))
+    return written(rows.repartition("f", "part").sortWithinPartitions("f", "part", "_row"), label, ("f", "part"))
+
+
+@lru_cache(maxsize=2)
+def _marked(path: str, file: int, part: int) -> tuple[np.ndarray, np.ndarray]:
+    store, place = opened(f"{path}/f={file}/part={part}")
+    if store.get_file_info(place).type == fs.FileType.NotFound:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    found = [x for x in store.get_file_info(fs.FileSelector(place)) if x.base_name.endswith(".parquet")]
+    table = pa.concat_tables([pq.read_table(store.open_input_file(x.path), columns=["_row", "value"]) for x in found])
+    rows, values = table.column("_row").to_numpy(), table.column("value").to_numpy()
+    order = np.argsort(rows, kind="stable")
+    return rows[order], values[order]
+
+
+def marked(path: str, file: pa.Array, row: pa.Array) -> np.ndarray:
+    """Values of rows' addresses in the table of marks at path, 0 where there is none; for use inside a task."""
+    f, r = file.to_numpy(zero_copy_only=False), row.to_numpy(zero_copy_only=False)
+    part, out = r // MARKED, np.zeros(len(r), np.int64)
+    for own_file, own_part in sorted(set(zip(f.tolist(), part.tolist(), strict=True))):
+        rows, values = _marked(path, own_file, own_part)
+        mine = np.flatnonzero((f == own_file) & (part == own_part))
+        at = np.searchsorted(rows, r[mine])
+        hit = np.append(rows, -1)[at] == r[mine]
+        out[mine[hit]] = values[at[hit]]
+    return out
+
+
+def path_of(table: DataFrame) -> str:
+    """Where a written table is."""
+    return _paths[table]
+
+
+def look_up(table: DataFrame) -> Callable[[Column, Column], Column]:
+    """A column function of a row's address: its value in a table of marks, 0 if it has none.
+
+    A task reads only the marks of the files and runs of rows that it scans, so neither texts nor marks are shuffled to meet.
+    """
+    path = path_of(table)
+
+    @F.arrow_udf("bigint")
+    def find(file: pa.Array, row: pa.Array) -> pa.Array:
+        return pa.array(marked(path, file, row))
+
+    return find
 
 
 def text_blocks(texts: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
