@@ -79,3 +79,14 @@ def test_edges(spark):
     check(df, rows)
     assert mix(df.limit(0)).count() == 0
     assert [r.taken for r in mix(df.where("text is null")).collect()] == [0]
+
+
+def test_many_sources_and_a_long_text(spark):
+    rows = [(k, f"s{k % 1500:04d}", "w " * (k % 37)) for k in range(4000)] + [(9000, "s0003", "long words " * 200_000)]
+    check(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(6), rows)
+
+
+def test_kept_columns_come_along(spark):
+    rows = [(k % 7, "ab"[k % 2], "w " * (1 + k % 3), k, f"n{k}") for k in range(60)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, source string, text string, copies int, name string"), keep=("name",)).collect()
+    assert sorted(r.name for r in got) == sorted(r[4] for r in rows)
