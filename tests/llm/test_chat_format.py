@@ -79,3 +79,19 @@ def test_encoder_matches_library(spark):
 def test_encoder_on_odd_texts(text):
     e = Encoder.kept = getattr(Encoder, "kept", None) or Encoder(PATH, 50)
     assert e.encode(text) == e._ids(text)
+
+
+def test_null_ids_beside_large_ones(spark):
+    rows = [(2**53 + k, 0, "user", f"text {k}") for k in range(4)] + [(None, 0, "user", "none"), (None, 1, "assistant", "x")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(1)
+    for ordered in (False, True):
+        got = {r.conv_id: r.n_turns for r in read_back(format_conversations(df, PATH), ordered).collect()}
+        assert got == {2**53 + k: 1 for k in range(4)} | {None: 2}
+
+
+def test_a_very_long_text(spark):
+    text = "one <turn two </turn> three " * 60_000
+    df = spark.createDataFrame([("c", 0, "user", "hi"), ("c", 1, "assistant", text), ("c", 2, "assistant", "end")], "conv_id string, turn long, role string, text string")
+    got = read_back(format_conversations(df, PATH)).collect()
+    want = hashlib.sha256(f"user\nhi\nassistant\n{text}\nassistant\nend\n".encode()).hexdigest()
+    assert [(r.conv_id, r.n_turns, r.turns_sha256, r.loss_chars) for r in got] == [("c", 3, want, len(text) + 3)]

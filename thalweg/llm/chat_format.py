@@ -20,12 +20,12 @@ import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.shared import small_batches
 from thalweg.llm.tokens import token_numbers
 
 _MARK = re.compile(r"<(\\*)(/?turn)")
@@ -124,16 +124,21 @@ def windows(turns: Iterator[tuple[str, str, int]], budget: Budget, target: str)
         yield close()
 
 
-def _conversations(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[object, Iterator]]:
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        for at in range(0, batch.num_rows, 500):
+            yield from zip(*(c.to_pylist() for c in batch.slice(at, 500).columns), strict=True)
+
+
+def _conversations(rows: Iterator[tuple]) -> Iterator[tuple[object, Iterator[tuple]]]:
     """Conversations in a run of sorted rows, as (id, its rows), without holding one whole."""
-    rows = (r for f in frames for r in f.itertuples(index=False, name=None))
     row = next(rows, None)
     while row is not None:
-        key = None if pd.isna(row[0]) else row[0]
+        key = row[0]
 
         def own(key=key):
             nonlocal row
-            while row is not None and (None if pd.isna(row[0]) else row[0]) == key:
+            while row is not None and row[0] == key:
                 yield row
                 row = next(rows, None)
 
@@ -143,46 +148,59 @@ def _conversations(frames: Iterator[pd.DataFrame]) -> Iterator[tuple[object, Ite
             pass
 
 
+def _known(batches: Iterator[pa.RecordBatch]) -> tuple[pa.DataType, Iterator[pa.RecordBatch]]:
+    """The type of the first column, and the batches."""
+    first = next(batches, None)
+    return (pa.null(), iter(())) if first is None else (first.schema.types[0], chain([first], batches))
+
+
+def _batch(found: list[tuple], kind: pa.DataType, types: dict[str, pa.DataType]) -> pa.RecordBatch:
+    columns = list(zip(*found, strict=True))
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (kind, *types.values()), strict=True)], ["conv_id", *types])
+
+
+_SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
+_WINDOW = {"window": pa.int32(), "first_turn": pa.int64(), "new_turns": pa.int64(), "n_tokens": pa.int64(), "text": pa.string(), "loss": _SPANS}
+_DIGESTS = {"n_turns": pa.int64(), "turns_sha256": pa.string(), "loss_chars": pa.int64(), "loss_sha256": pa.string(), "formatted_chars": pa.int64()}
+
+
 def format_conversations(df: DataFrame, tokenizer: str, budget: Budget = Budget(), conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text", target: str = "assistant") -> DataFrame:
     """One row per window: the conversation's id, number, turns, tokens, text, and spans (in characters) of its loss mask.
 
-    tokenizer: path, on every executor, of a tokenizers file that counts a turn's tokens.
+    The windows of a conversation are in one partition, in order. tokenizer: path, on every executor, of a tokenizers file
+    that counts a turn's tokens.
     """
-    small_batches(df.sparkSession)
     rows = df.select(F.col(f"`{conv}`").alias("conv_id"), F.col(f"`{turn}`").alias("turn"), F.coalesce(F.col(f"`{role}`"), F.lit("")).alias("role"), F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     rows = rows.withColumn("tokens", token_numbers(tokenizer)("text"))
     rows = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text", "tokens")
 
-    def formatted(frames):
+    def formatted(batches):
+        kind, batches = _known(batches)
         found, size = [], 0
-        for key, turns in _conversations(frames):
-            for w in windows(((t[1], t[2], int(t[3])) for t in turns), budget, target):
-                found.append({"conv_id": key} | w)
+        for key, turns in _conversations(_rows(batches)):
+            for w in windows(((t[1], t[2], t[3]) for t in turns), budget, target):
+                found.append((key, *(w[c] for c in _WINDOW)))
                 size += len(w["text"])
                 if size > 1 << 22:
-                    yield _frame(found)
+                    yield _batch(found, kind, _WINDOW)
                     found, size = [], 0
         if found:
-            yield _frame(found)
-
-    def _frame(found):
-        out = pd.DataFrame(found)
-        out["conv_id"] = out["conv_id"].astype("Int64") if all(isinstance(x, (int, type(None))) for x in out["conv_id"]) else out["conv_id"]
-        return out
+            yield _batch(found, kind, _WINDOW)
 
-    return rows.mapInPandas(formatted, f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, {WINDOW_TYPE}")
+    return rows.mapInArrow(formatted, f"conv_id {rows.schema['conv_id'].dataType.simpleString()}, {WINDOW_TYPE}")
 
 
-def read_back(formatted: DataFrame) -> DataFrame:
+def read_back(formatted: DataFrame, ordered: bool = False) -> DataFrame:
     """Of each conversation, from its windows alone: counts and digests of its turns and of what the loss mask covers.
 
-    The windows of one conversation must be in one partition in order, as format_conversations leaves them;
-    windows that were written and read again are sorted here first.
+    ordered: formatted is what format_conversations returned, so that each conversation's windows are together and in order;
+    otherwise (if they were written and read again, say) they are brought together first.
     """
 
-    def read(frames):
+    def read(batches):
+        kind, batches = _known(batches)
         found = []
-        for key, own in _conversations(f[["conv_id", "text", "loss"]] for f in frames):
+        for key, own in _conversations(_rows(batches)):
             turns, masked, n, covered, chars = hashlib.sha256(), hashlib.sha256(), 0, 0, 0
             for _, text, loss in own:
                 chars += len(text)
@@ -196,16 +214,12 @@ def read_back(formatted: DataFrame) -> DataFrame:
                     masked.update(plain.encode("utf-8", "surrogatepass"))
             found.append((key, n, turns.hexdigest(), covered, masked.hexdigest(), chars))
             if len(found) == 5000:
-                yield _digests(found)
+                yield _batch(found, kind, _DIGESTS)
                 found = []
         if found:
-            yield _digests(found)
-
-    def _digests(found):
-        out = pd.DataFrame(found, columns=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
-        out["conv_id"] = out["conv_id"].astype("Int64") if all(isinstance(x, (int, type(None))) for x in out["conv_id"]) else out["conv_id"]
-        return out
+            yield _batch(found, kind, _DIGESTS)
 
     kind = formatted.schema["conv_id"].dataType.simpleString()
-    ordered = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "window")
-    return ordered.mapInPandas(read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
+    if not ordered:
+        formatted = formatted.repartition("conv_id").sortWithinPartitions("conv_id", "window")
+    return formatted.select("conv_id", "text", "loss").mapInArrow(read, f"conv_id {kind}, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
