@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from thalweg.llm.shared import written
+from thalweg.llm.shared import discard, look_up, marks, written
 from thalweg.llm.tokens import encoder
 
 #: Triples that are considered at most, those first whose scarcest length is most frequent. Pairs are all considered.
@@ -133,7 +133,7 @@ def tokenized(df: DataFrame, tokenizer: str, window: int, end_token: int, doc_id
 
     def encode(batches):
         e = encoder(tokenizer)
-        end = np.array([end_token], e.kind).tobytes()
+        end = np.array([end_token], "<u4").tobytes()
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
@@ -141,8 +141,8 @@ def tokenized(df: DataFrame, tokenizer: str, window: int, end_token: int, doc_id
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 some = batch.slice(at, 256)
-                ids = [e.encode(t.as_py()) + end for t in some.column(1)]
-                sizes = [len(x) // e.kind.itemsize for x in ids]
+                ids = [np.frombuffer(e.encode(t.as_py()), e.kind).astype("<u4").tobytes() + end for t in some.column(1)]
+                sizes = [len(x) // 4 for x in ids]
                 rest, rank, whole = [], [], []
                 for n in sizes:
                     r = n % window
@@ -165,13 +165,12 @@ def _before(counts: DataFrame, key: str, n: str) -> DataFrame:
 
 
 def pack(df: DataFrame, tokenizer: str, window: int = 2048, end_token: int = 1, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per piece: doc_id, start, length, ids (little-endian, 2 bytes each, or 4 for a vocabulary over 65,536), doc_tokens, sequence_id, offset.
+    """One row per piece: doc_id, start, length, ids (little-endian, 4 bytes each), doc_tokens, sequence_id, offset.
 
     A sequence is its pieces in order of offset, padded to the window unless it has a power of two tokens.
     """
     spark: SparkSession = df.sparkSession
     table = tokenized(df, tokenizer, window, end_token, doc_id, text)
-    size = encoder(tokenizer).kind.itemsize
 
     per_part = written(table.groupBy("part", "rest").agg(F.count("*").alias("n"), F.sum(F.expr(f"n_tokens div {window}")).alias("whole_n")), "lengths")
     counts = np.zeros(window, np.int64)
@@ -185,10 +184,14 @@ def pack(df: DataFrame, tokenizer: str, window: int = 2048, end_token: int = 1,
             tail.append(tail[-1] + (1 << k))
     whole_from = p.sequences + body // window + len(tail) - 1
 
-    bases = _before(per_part.select("part", "rest", "n"), "rest", "n").select("part", "rest", F.col("base").alias("rank_base"))
-    wholes = _before(per_part.groupBy("part").agg(F.sum("whole_n").alias("n")).withColumn("one", F.lit(1)), "one", "n").select("part", F.col("base").alias("whole_base"))
-    rows = table.join(bases.join(wholes, "part"), ["part", "rest"])
-    rows = rows.select("doc_id", "n_tokens", "ids", "rest", (F.col("rank") + F.col("rank_base")).alias("rank"), (F.col("whole") + F.col("whole_base")).alias("whole"))
+    # What comes before a part, by length (and, as one more length, whole windows), where its tasks find it: no token is shuffled.
+    ranks = _before(per_part.select("part", "rest", "n"), "rest", "n").select("part", "rest", "base")
+    wholes = _before(per_part.groupBy("part").agg(F.sum("whole_n").alias("n")).withColumn("rest", F.lit(window)), "rest", "n").select("part", "rest", "base")
+    before = marks(ranks.unionByName(wholes).select(F.col("part").cast("long").alias("_file"), F.col("rest").cast("long").alias("_row"), F.col("base").alias("value")), "bases")
+    discard(per_part)
+    part, base = F.col("part").cast("long"), look_up(before)
+    rows = table.withColumn("rank", F.col("rank") + base(part, F.col("rest").cast("long"))).withColumn("whole", F.col("whole") + base(part, F.lit(window).cast("long")))
+    rows = rows.select("doc_id", "n_tokens", "ids", "rest", "rank", "whole")
 
     # Per length its slots by first rank, and where its stream begins: at most one row per length, and no more slots than plan() makes.
     slots: dict[int, list] = {}
@@ -218,16 +221,5 @@ def pack(df: DataFrame, tokenizer: str, window: int = 2048, end_token: int = 1,
         parts.append(F.when(F.col("rank") >= F.col("lo"), last))
     pieces = F.filter(F.concat(*[F.coalesce(x, F.expr("cast(array() AS array<struct<start: long, length: long, sequence_id: long, offset: long>>)")) for x in parts]), lambda s: s["length"] > 0)
     out = rows.select("doc_id", "n_tokens", "ids", F.explode(pieces).alias("p"))
-    cut = F.expr(f"substring(ids, cast(p.start * {size} + 1 AS int), cast(p.length * {size} AS int))")
+    cut = F.expr(f"substring(ids, cast(p.start * 4 + 1 AS int), cast(p.length * 4 AS int))")
     return out.select("doc_id", "p.start", "p.length", cut.alias("ids"), F.col("n_tokens").alias("doc_tokens"), "p.sequence_id", "p.offset")
-
-
-def ids_crc32(size: int):
-    """A column function: CRC-32 of ids of `size` bytes each, taken as little-endian unsigned 32-bit integers."""
-    import zlib
-
-    @F.arrow_udf("bigint")
-    def digest(ids: pa.Array) -> pa.Array:
-        return pa.array([zlib.crc32(np.frombuffer(x.as_py(), f"<u{size}").astype("<u4").tobytes()) for x in ids], pa.int64())
-
-    return digest

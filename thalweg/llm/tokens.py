@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 #: Chunks whose ids a worker keeps.
-REMEMBERED = 500_000
+REMEMBERED = 100_000
 
 
 #: Fixed value: how byte-level BPE splits a text before merging.
