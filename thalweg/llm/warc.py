@@ -25,14 +25,13 @@ import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from thalweg.llm.shared import shared_dir, written
+from thalweg.llm.shared import discard, opened, shared_dir, written
 
 #: Ranges this near are read together, up to so many bytes; records of an archive are dealt to tasks by this much of it.
-GAP, RANGE, DEALT = 1 << 16, 4 << 20, 16 << 20
+GAP, RANGE, DEALT = 1 << 16, 4 << 20, 32 << 20
 
 INDEX_TYPE = "archive string, offset long, length long, url string, digest string, page_id long, record_type string, refers_to long, payload_bytes long"
 RECORD_TYPE = "page_id long, url string, record_type string, refers_to long, payload_bytes long, payload_digest string, payload binary"
@@ -41,10 +40,6 @@ _HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-L
 _CONTROL = re.compile(r"[\x00-\x20\x7f%]")
 
 
-def _opened(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if "://" in uri or uri.startswith("file:") else (fs.LocalFileSystem(), uri)
-
-
 def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, revisit: bool, date: str) -> bytes:
     """An uncompressed record; a revisit has the HTTP head alone."""
     name = uuid.uuid5(uuid.NAMESPACE_URL, f"{page_id} {digest} {url}")
@@ -105,7 +100,7 @@ def write_archives(df: DataFrame, folder: str | None = None, page_id: str = "pag
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        store, path = _opened(folder)
+        store, path = opened(folder)
         store.create_dir(path, recursive=True)
         attempt, number, out, name, at = f"{TaskContext.get().partitionId():05d}-{uuid.uuid4().hex}", 0, None, "", 0
         for batch in batches:
@@ -129,7 +124,9 @@ def write_archives(df: DataFrame, folder: str | None = None, page_id: str = "pag
         if out is not None:
             out.close()
 
-    return written(rows.mapInArrow(write, INDEX_TYPE), "index")
+    index = written(rows.mapInArrow(write, INDEX_TYPE), "index")
+    discard(shared)
+    return index
 
 
 def ranges(rows: Iterator[tuple[str, int, int]], gap: int = GAP, most: int = RANGE) -> Iterator[tuple[str, int, int, list[tuple[int, int]]]]:
@@ -149,7 +146,9 @@ def ranges(rows: Iterator[tuple[str, int, int]], gap: int = GAP, most: int = RAN
 
 def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
     """The records that rows of an index select, read from the archives; payload is null for revisits, and if payloads is false."""
-    rows = index.select("archive", "offset", "length").repartition("archive", F.expr(f"offset div {DEALT}")).sortWithinPartitions("archive", "offset")
+    n, total = index.agg(F.count_distinct("archive"), F.sum("length")).first()
+    tasks = max(1, n, -(-(total or 0) // DEALT))  # by what there is to read, not by the index's own size
+    rows = index.select("archive", "offset", "length").repartition(tasks, "archive", F.expr(f"offset div {DEALT}")).sortWithinPartitions("archive", "offset")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = (r for b in batches for r in zip(*(c.to_pylist() for c in b.columns), strict=True))
@@ -159,7 +158,7 @@ def read_records(index: DataFrame, payloads: bool = True) -> DataFrame:
             if archive != held:
                 if file is not None:
                     file.close()
-                store, path = _opened(archive)
+                store, path = opened(archive)
                 held, file = archive, store.open_input_file(path)
             data = file.read_at(end - begin, begin)
             found = [parse(zlib.decompress(data[o - begin : o - begin + n], 31)) for o, n in records]
