@@ -56,3 +56,31 @@ def test_stages_against_brute_force(spark):
 def test_run_on_no_documents(spark, tmp_path):
     spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(f"{tmp_path}/documents.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_clashing_columns_repeated_rows_and_nulls(spark):
+    names = ["copies", "copy", "score", "kept", "lang_pred", "class_id", "_file", "_row", "place", "c0", "cleaned_text"]
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(60)
+    rows = [tuple(r) for r in docs.collect()]
+    long = "A sentence of plain words that goes on for a while, so that it is kept. " * 20
+    rows += [rows[5]] * 3 + [(None, long, "en", "src0", len(long)), (None, None, None, None, None), (7000, "", "en", "src1", 0), (7001, (long + "\n") * 900, "en", "src1", 1_300_000)]
+    made = [r + tuple(f"{n} of {k}" for n in names) for k, r in enumerate(rows)]
+    kind = docs.schema.simpleString()[7:-1].replace(":", " ") + "".join(f", `{n}` string" for n in names)
+    docs = written(spark.createDataFrame(made, kind), "docs")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, "")
+        assert out.columns == docs.columns
+        docs = written(out, name)
+        for r in docs.collect():  # each row's own columns stay together
+            k = int(r["copies"].split()[-1])
+            assert r.doc_id == rows[k][0] and all(r[n] == f"{n} of {k}" for n in names)
+    ids = Counter(r.doc_id for r in docs.collect())
+    assert ids[rows[5][0]] <= 3
+
+
+def test_mixing_of_repeated_rows(spark):
+    text = "some words in a row " * 3
+    docs = spark.createDataFrame([(1, text, "en", "a", 9)] * 3 + [(2, text, "en", "b", 9)] * 5, "doc_id long, text string, lang string, source string, n_chars long")
+    size, target = test_mixing.brute_targets([(r.doc_id, r.source, r.text) for r in docs.collect()])
+    got = Counter(r.source for r in corpus_pipeline.mixed(spark, docs, "").collect())
+    assert all(abs(got[s] * 15 - target[s]) <= 15 for s in size)

@@ -1,4 +1,7 @@
-"""The registered queries of this subpackage: each runs its operator over its whole table."""
+"""The registered queries of this subpackage: each runs its operator over its whole table.
+
+Where Python works on texts last, the (small) result is written, so that its batches are small without a lasting setting.
+"""
 
 from __future__ import annotations
 
@@ -13,8 +16,9 @@ from thalweg.llm.ann import nearest
 from thalweg.llm.chat_format import format_conversations, read_back
 from thalweg.llm.mixing import mix
 from thalweg.llm.near_dedup import near_duplicates
-from thalweg.llm.packing import ids_crc32, pack
+from thalweg.llm.packing import pack
 from thalweg.llm.quality import quality
+from thalweg.llm.shared import written
 from thalweg.llm.token_counts import token_counts
 from thalweg.llm.url_filter import Rule, filter_urls
 from thalweg.llm.warc import read_records, write_archives
@@ -27,7 +31,7 @@ BLOCKED_GLOBS = ("**/*.exe", "**/*.zip", "**/ads/**", "**/wp-login.php**")
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens of every document under the unigram vocabulary of piece_bpe_32k.model."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
-    return token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens")
+    return written(token_counts(docs, public_tokenizers.path("piece_bpe_32k.model")).select("doc_id", "n_tokens"), "op1")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,26 +71,26 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
     odd = r"\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", odd), (-7, 1, "assistant", odd)], chats.schema)
-    return read_back(format_conversations(chats.unionByName(more), public_tokenizers.path("byte_bpe_50k.json")))
+    return written(read_back(format_conversations(chats.unionByName(more), public_tokenizers.path("byte_bpe_50k.json")), ordered=True), "op4")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     judged = quality(docs, cleaned=False)
-    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_removed_lines", "removed_chars")
+    return written(judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_lines", "n_removed_lines", "removed_chars"), "op5")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
     profiles = language_id.fit(docs.where(~held_out), by=F.col("doc_id"))
-    return language_id.predict(docs.select("doc_id", "text", held_out.alias("held_out")), profiles).select("doc_id", "held_out", "lang_pred", "score")
+    return written(language_id.predict(docs.select("doc_id", "text", held_out.alias("held_out")), profiles).select("doc_id", "held_out", "lang_pred", "score"), "op6")
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
     pieces = pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
-    return pieces.select("doc_id", "start", "length", ids_crc32(2)("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    return written(pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"), "op7")
 
 
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
