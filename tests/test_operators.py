@@ -216,7 +216,54 @@ def test_shortest(spark):
 
 
 def test_algorithm_numbers():
-    assert directions.algorithm("manual_set") == -1 and directions.algorithm("cl_dist_and_ang") == 23.1
+    # Fixed values
+    want = {
+        "sourcesinkfix": -2, "manual_set": -1, "inletoutlet": 0, "continuity": 1, "parallels": 2, "artificials": 2.1, "main_chans": 4, "bridges": 5, "known_fdr": 6, "known_fdr_rs": 6.1,
+        "syn_dem": 10, "syn_dem_med": 10.1, "sym_dem_leftover": 10.2, "sp_links": 11, "sp_nodes": 12, "longest_steepest": 13, "three_agree": 15, "syn_dem_and_sp": 16, "cl_dist_guess": 20,
+        "cl_ang_guess": 21, "cl_dist_set": 22, "cl_ang_set": 23, "cl_ang_rs": 23.1, "cl_dist_and_ang": 24, "short_no_bktrck": 25, "wid_pctdiff": 26,
+    }
+    assert {k: directions.algorithm(k) for k in directions.ALGORITHMS} == want
+
+
+def test_super_apex_comes_and_goes(spark):
+    own = spark.createDataFrame([(0, 1, 3, 4, 1.0, 2.0), (0, 2, 5, 4, 1.0, 3.0)], "net_id long, link_id long, u long, v long, len double, wid double")
+    inlets = spark.createDataFrame([(0, 3), (0, 5)], "net_id long, node long")
+    apex = links.super_apex(own)
+    more = links.add_super_apex(own, inlets)
+    assert more.count() == 4
+    assert sorted(links.delete_super_apex(more, apex).collect()) == sorted(own.collect()) == sorted(links.delete_super_apex(own, apex).collect())
+
+
+def test_nearest_nodes_of_nothing(spark):
+    nodes = spark.createDataFrame([(1, 0.0, 0.0)], "node_id long, x double, y double")
+    points = spark.createDataFrame([], "point_id long, x double, y double")
+    assert links.nearest_nodes(points, nodes).collect() == [] == links.nearest_nodes(points.unionByName(spark.createDataFrame([(1, 0.0, 0.0)], points.schema)), nodes.limit(0)).collect()
+
+
+def test_main_channel(spark):
+    rng = random.Random(4)
+    rows = [(0, k, rng.randrange(15), rng.randrange(15), float(rng.randint(1, 9)), float(rng.randint(1, 9))) for k in range(50)]
+    df = spark.createDataFrame(rows, "net_id long, link_id long, u long, v long, len double, wid double")
+    outlets = [9, 12]
+    got = {r.link_id: r.us for r in directions.main_channel_guesses(df, spark.createDataFrame([(0, 2)], "net_id long, node long"), spark.createDataFrame([(0, o) for o in outlets], "net_id long, node long")).collect()}
+    widest = max(r[5] for r in rows)
+    cost = {r[1]: (widest - r[5]) * r[4] for r in rows}
+    dist = {2: 0.0}
+    for _ in range(20):
+        for _, k, u, v, _, _ in rows:
+            for a, b in ((u, v), (v, u)):
+                if a in dist:
+                    dist[b] = min(dist.get(b, 1e9), dist[a] + cost[k])
+    end = {r[1]: r[2:4] for r in rows}
+    below = {}
+    for k, us in got.items():
+        u, v = end[k]
+        ds = v if us == u else u
+        assert abs(dist[us] + cost[k] - dist[ds]) < 1e-6
+        below[ds] = us
+    for o in outlets:
+        while o != 2:
+            o = below[o]
 
 
 def test_coordinates(spark):

@@ -16,15 +16,15 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from thalweg.operators.links import ends, flip, parallel
+from thalweg.operators.links import ends, flip, parallel, widest_inlet
 from thalweg.operators.regions import stored
 
 #: The number of each way to set a direction.
 ALGORITHMS = {
-    "manual_set": -1, "inletoutlet": 0, "continuity": 1, "parallels": 2, "artificials": 2.1, "main_chans": 4, "bridges": 5, "known_fdr": 6, "known_fdr_rs": 6.1,
-    "syn_dem": 10, "syn_dem_med": 10.1, "sp_links": 11, "sp_nodes": 12, "longest_steepest": 13, "three_agree": 15, "syn_dem_and_sp": 16,
-    "cl_dist_guess": 20, "cl_ang_guess": 21, "cl_dist_set": 22, "cl_ang_set": 23, "cl_dist_and_ang": 23.1, "shortest": 25, "wid_pctdiff": 26,
-    "source_sink_fix": -2, "cycle_fix": -2.1,
+    "sourcesinkfix": -2, "manual_set": -1, "inletoutlet": 0, "continuity": 1, "parallels": 2, "artificials": 2.1, "main_chans": 4, "bridges": 5, "known_fdr": 6,
+    "known_fdr_rs": 6.1, "syn_dem": 10, "syn_dem_med": 10.1, "sym_dem_leftover": 10.2, "sp_links": 11, "sp_nodes": 12, "longest_steepest": 13, "three_agree": 15,
+    "syn_dem_and_sp": 16, "cl_dist_guess": 20, "cl_ang_guess": 21, "cl_dist_set": 22, "cl_ang_set": 23, "cl_ang_rs": 23.1, "cl_dist_and_ang": 24,
+    "short_no_bktrck": 25, "wid_pctdiff": 26,
 }
 
 
@@ -141,6 +141,32 @@ def main_channel_cost(links: DataFrame) -> DataFrame:
     return links.withColumn("cost", (F.max("wid").over(Window.partitionBy("net_id")) - F.col("wid")) * F.col("len"))
 
 
+def main_channel_guesses(links: DataFrame, inlets: DataFrame, outlets: DataFrame) -> DataFrame:
+    """net_id, link_id, us, alg: the links of the cheapest path (main_channel_cost) from each network's widest inlet to every outlet, from upper to lower node.
+
+    Of parallel links the cheapest, then the smaller id; of paths that cost the same the shorter. Paths are walked back from all
+    outlets together, in rounds that double the way.
+    """
+    priced = stored(main_channel_cost(links).withColumn("cost", F.col("cost") + F.col("len") * 1e-9))  # or links that cost nothing could lead in a ring
+    best = stored(shortest(priced, widest_inlet(links, inlets), "cost").where("pred IS NOT NULL").select("net_id", "node", "pred"))
+    path = stored(best.join(outlets.select("net_id", "node").distinct(), ["net_id", "node"]).select("net_id", "node"))
+    jump = best.withColumnRenamed("pred", "up")
+    while jump.limit(1).count():  # a jump is twice as long in each round
+        path = stored(path.unionByName(path.join(jump, ["net_id", "node"]).select("net_id", F.col("up").alias("node"))).distinct())
+        jump = stored(jump.join(jump.select("net_id", F.col("node").alias("up"), F.col("up").alias("next")), ["net_id", "up"]).select("net_id", "node", F.col("next").alias("up")))
+    path = best.join(path, ["net_id", "node"]).select("net_id", F.least("node", "pred").alias("a"), F.greatest("node", "pred").alias("b"), F.col("pred").alias("us"))
+    between = priced.groupBy("net_id", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.min_by("link_id", F.struct("cost", "link_id")).alias("link_id"))
+    return path.join(between, ["net_id", "a", "b"]).select("net_id", "link_id", "us", F.lit(algorithm("main_chans")).alias("alg"))
+
+
+def path_links(paths: DataFrame, links: DataFrame) -> DataFrame:
+    """net_id, path_id, seq, link_id: the link of least id between each node of a path (net_id, path_id, seq, node) and the next; none where no link joins them."""
+    after = F.lead("node").over(Window.partitionBy("net_id", "path_id").orderBy("seq"))
+    step = paths.withColumn("next", after).where("next IS NOT NULL").select("net_id", "path_id", "seq", F.least("node", "next").alias("a"), F.greatest("node", "next").alias("b"))
+    between = links.groupBy("net_id", F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).agg(F.min("link_id").alias("link_id"))
+    return step.join(between, ["net_id", "a", "b"]).select("net_id", "path_id", "seq", "link_id")
+
+
 def _per_network(links: DataFrame, f, schema: str) -> DataFrame:
     return links.groupBy("net_id").applyInPandas(f, schema)
 
@@ -381,8 +407,11 @@ def cycles(links: DataFrame) -> DataFrame:
     return _per_network(links, find, "net_id long, cycle long, link_id long")
 
 
-def repaired(links: DataFrame, ok: DataFrame, most: int = 10) -> DataFrame:
-    """Links after flips that take away inner sources and sinks: for each, the shortest link at it whose flip makes no cycle and no new bad node."""
+def repaired(links: DataFrame, ok: DataFrame) -> DataFrame:
+    """Links after flips that take away inner sources and sinks: for each, the shortest link at it whose flip makes no cycle and no new bad node.
+
+    Goes on until no flip helps; what is bad still is what the check of inner nodes finds in the result.
+    """
     marked = links.join(ok.select("net_id", F.col("node").alias("u")).distinct().withColumn("u_ok", F.lit(True)), ["net_id", "u"], "left").join(ok.select("net_id", F.col("node").alias("v")).distinct().withColumn("v_ok", F.lit(True)), ["net_id", "v"], "left")
     marked = marked.select("net_id", "link_id", "u", "v", "len", F.coalesce("u_ok", F.lit(False)).alias("u_ok"), F.coalesce("v_ok", F.lit(False)).alias("v_ok"))
 
@@ -409,11 +438,10 @@ def repaired(links: DataFrame, ok: DataFrame, most: int = 10) -> DataFrame:
             return False
 
         flipped = set()
-        for _ in range(most):
-            wrong = [n for n in sorted(at) if bad(n)]
-            if not wrong:
-                break
-            for n in wrong:
+        helped = True
+        while helped:  # each flip that is kept leaves fewer bad nodes
+            helped = False
+            for n in [n for n in sorted(at) if bad(n)]:
                 for k in sorted(at[n], key=lambda k: (size[k], k)):
                     if not bad(n):
                         break
@@ -425,6 +453,7 @@ def repaired(links: DataFrame, ok: DataFrame, most: int = 10) -> DataFrame:
                         u[k], v[k] = v[k], u[k]
                     else:
                         flipped ^= {k}
+                        helped = True
         keys = sorted(flipped)
         return pd.DataFrame({"net_id": [frame["net_id"].iloc[0]] * len(keys), "link_id": keys}).astype("int64")
 

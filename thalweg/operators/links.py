@@ -160,10 +160,28 @@ def split_at_half(links: DataFrame, pixels: DataFrame) -> DataFrame:
 
 
 def flow_raster(pixels: DataFrame) -> DataFrame:
-    """net_id, r, c, v: 0 to 1 along each link; of several links at a pixel the one with the highest id."""
-    n = F.max("seq").over(Window.partitionBy("net_id", "link_id"))
-    v = pixels.withColumn("v", F.when(n > 0, F.col("seq") / n).otherwise(F.lit(0.0)))
-    return v.groupBy("net_id", "r", "c").agg(F.max_by("v", "link_id").alias("v"))
+    """net_id, r, c, v: 0 to 1 along each link; of several links at a pixel the one with the highest id, where it comes last."""
+    last = pixels.groupBy("net_id", "link_id").agg(F.max("seq").alias("n"))
+    at = pixels.groupBy("net_id", "r", "c").agg(F.max(F.struct("link_id", "seq")).alias("top")).select("net_id", "r", "c", "top.*")
+    return at.join(last, ["net_id", "link_id"]).select("net_id", "r", "c", F.when(F.col("n") > 0, F.col("seq") / F.col("n")).otherwise(F.lit(0.0)).alias("v"))
+
+
+def unpadded(pixels: DataFrame, pad: int) -> DataFrame:
+    """Pixels found in an image with pad more cells on every side, by their place in the image itself."""
+    return pixels.withColumns({"r": F.col("r") - pad, "c": F.col("c") - pad})
+
+
+def add_nodes(nodes: DataFrame, more: DataFrame) -> DataFrame:
+    """nodes (net_id, node_id, r, c) with the pixels of more (net_id, r, c) that aren't nodes yet, by row and column under the ids after the highest."""
+    top = nodes.groupBy("net_id").agg(F.max("node_id").alias("_top"))
+    new = more.select("net_id", "r", "c").distinct().join(nodes, ["net_id", "r", "c"], "left_anti").join(top, "net_id", "left")
+    rank = F.row_number().over(Window.partitionBy("net_id").orderBy("r", "c"))
+    return nodes.unionByName(new.select("net_id", (F.coalesce("_top", F.lit(-1)) + rank).alias("node_id"), "r", "c"), allowMissingColumns=True)
+
+
+def linked_nodes(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """Nodes (net_id, node_id, ...) that a link still ends at."""
+    return nodes.join(ends(links).select("net_id", F.col("node").alias("node_id")).distinct(), ["net_id", "node_id"], "left_semi").select(*nodes.columns)
 
 
 def nearest_nodes(points: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -173,8 +191,9 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame) -> DataFrame:
     nearer node can be outside, so points and nodes are never all paired.
     """
     stats = nodes.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y"), F.count("*")).first()
+    none = points.select("point_id").limit(0).withColumns({"node_id": F.lit(None).cast("long"), "dist": F.lit(None).cast("double")})
     if not stats[4]:
-        return points.select("point_id").limit(0).withColumns({"node_id": F.lit(None).cast("long"), "dist": F.lit(None).cast("double")})
+        return none
     area = max(stats[1] - stats[0], 1e-9) * max(stats[3] - stats[2], 1e-9)
     side = max((area / stats[4]) ** 0.5, max(stats[1] - stats[0], stats[3] - stats[2]) / 1e6, 1e-9) * 1.5
     bin_of = lambda c: F.floor(F.col(c) / side)
@@ -187,7 +206,7 @@ def nearest_nodes(points: DataFrame, nodes: DataFrame) -> DataFrame:
         # beyond the last ring that the nodes' box has for any point, everything was seen
         most = todo.agg(F.max(F.greatest(F.abs(F.col("px") - low[0]), F.abs(F.col("px") - high[0]), F.abs(F.col("py") - low[1]), F.abs(F.col("py") - high[1])))).first()[0]
         if most is None:
-            return out
+            return none if out is None else out
         k = F.lit(reach)
         span = lambda at, a, b: F.sequence(F.greatest(F.col(at) - k, F.lit(a)), F.greatest(F.least(F.col(at) + k, F.lit(b)), F.greatest(F.col(at) - k, F.lit(a))))
         near = todo.withColumn("bx", F.explode(span("px", low[0], high[0]))).withColumn("by", F.explode(span("py", low[1], high[1]))).join(binned, ["bx", "by"])
@@ -240,10 +259,14 @@ def add_super_apex(links: DataFrame, inlets: DataFrame, wid: str = "wid") -> Dat
     return links.unionByName(new, allowMissingColumns=True)
 
 
-def delete_super_apex(links: DataFrame) -> DataFrame:
-    """Without what add_super_apex added: the links of the least node."""
-    least = ends(links).groupBy("net_id").agg(F.min("node").alias("u"))
-    return links.join(least, ["net_id", "u"], "left_anti").select(*links.columns)
+def super_apex(links: DataFrame) -> DataFrame:
+    """net_id, node: the node that add_super_apex adds to links."""
+    return ends(links).groupBy("net_id").agg((F.min("node") - 1).alias("node"))
+
+
+def delete_super_apex(links: DataFrame, apex: DataFrame) -> DataFrame:
+    """Without what add_super_apex added: the links from apex (net_id, node), as super_apex told before."""
+    return links.join(apex.select("net_id", F.col("node").alias("u")), ["net_id", "u"], "left_anti").select(*links.columns)
 
 
 def single_inlet(links: DataFrame, inlets: DataFrame, outlets: DataFrame, wid: str = "wid") -> DataFrame:

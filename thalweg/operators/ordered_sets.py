@@ -67,6 +67,36 @@ def discard(rows: DataFrame, items: DataFrame) -> DataFrame:
     return except_any(rows, items)
 
 
+def size(rows: DataFrame) -> DataFrame:
+    """set_id, n: the number of items."""
+    return rows.groupBy("set_id").agg(F.count_distinct("item").alias("n"))
+
+
+def contains(rows: DataFrame, asked: DataFrame) -> DataFrame:
+    """set_id, item, inside: whether each asked item (set_id, item) is in its set."""
+    there = rows.select("set_id", "item").distinct().withColumn("_in", F.lit(True))
+    return asked.select("set_id", "item").join(there, ["set_id", "item"], "left").select("set_id", "item", F.coalesce("_in", F.lit(False)).alias("inside"))
+
+
+def backwards(rows: DataFrame) -> DataFrame:
+    """With idx counted from the last item."""
+    return unique(rows).withColumn("idx", F.row_number().over(Window.partitionBy("set_id").orderBy(F.desc("ord"))) - 1)
+
+
+def clear(rows: DataFrame) -> DataFrame:
+    return unique(rows).limit(0)
+
+
+def popped(rows: DataFrame) -> DataFrame:
+    """What pop() leaves: all items but the last."""
+    return backwards(rows).where("idx > 0").select("set_id", "ord", "item")
+
+
+def is_superset(rows: DataFrame, other: DataFrame) -> DataFrame:
+    """set_id, superset: whether all items of other are in rows."""
+    return is_subset(other, rows).withColumnRenamed("subset", "superset")
+
+
 def last(rows: DataFrame) -> DataFrame:
     """set_id and the item that pop() would take."""
     return rows.groupBy("set_id").agg(F.max_by("item", "ord").alias("item"))

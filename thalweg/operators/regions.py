@@ -16,11 +16,14 @@ from pyspark.sql import functions as F
 
 from thalweg.operators.raster import EIGHT, FOUR, PIXEL, inside, on_edge, scatter
 
+#: Rows of an image that the second pass of distances takes at once.
+ROWS = 32
+
 
 def stored(df: DataFrame) -> DataFrame:
-    """df as a table in the session's checkpoint folder: its lineage ends there."""
+    """df as a table in the session's checkpoint folder, or beside the session's tables (in the warehouse) if that is unset: its lineage ends there."""
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/thalweg-checkpoints"
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/thalweg-work"
     path = f"{folder}/stages/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -129,8 +132,8 @@ def fill_holes(pixels: DataFrame, images: DataFrame, most: int = 0) -> DataFrame
 def distances(pixels: DataFrame, images: DataFrame) -> DataFrame:
     """image_id, r, c, d: exact Euclidean distance of each on-pixel to the nearest off-cell; null in an image with none.
 
-    Two passes, as distance separates: along each column by window, then along each row the lower envelope of
-    parabolas; a task of the second pass holds one row of one image.
+    Two passes, as distance separates: along each column by window, then along each row the least sum of that and the
+    squared way; the second pass takes up to ROWS rows of an image at once.
     """
     rows = images.select("image_id", "nrows", "ncols", F.explode(F.sequence(F.lit(0), F.col("nrows") - 1)).alias("r"))
     every = rows.select("image_id", "ncols", "r", F.explode(F.sequence(F.lit(0), F.col("ncols") - 1)).alias("c"))
@@ -141,15 +144,22 @@ def distances(pixels: DataFrame, images: DataFrame) -> DataFrame:
     far = F.least(F.coalesce(F.col("r") - F.max(off_r).over(down), F.lit(1 << 20)), F.coalesce(F.min(off_r).over(up) - F.col("r"), F.lit(1 << 20)))
     first = every.select(*PIXEL, "on", far.cast("double").alias("far"))
 
-    def along_row(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("c")
-        f = frame["far"].to_numpy() ** 2
-        d = _envelope(f)
+    def along_rows(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values(["r", "c"])
+        f = frame["far"].to_numpy().reshape(frame["r"].nunique(), -1) ** 2
+        d, at = np.empty_like(f), np.arange(f.shape[1])
+        if f.shape[1] <= 512:
+            for p in range(f.shape[1]):
+                d[:, p] = (f + (at - p) ** 2).min(axis=1)
+        else:
+            for k in range(len(f)):
+                d[k] = _envelope(f[k])
+        d = d.ravel()
         out = frame[["image_id", "r", "c"]].copy()
         out["d"] = np.where(d >= float(1 << 40), np.nan, np.sqrt(d))
         return out[frame["on"].notna().to_numpy()]
 
-    found = first.groupBy("image_id", "r").applyInPandas(along_row, "image_id long, r int, c int, d double")
+    found = first.groupBy("image_id", F.expr(f"r div {ROWS}")).applyInPandas(along_rows, "image_id long, r int, c int, d double")
     return found.withColumn("d", F.nanvl("d", F.lit(None).cast("double")))
 
 

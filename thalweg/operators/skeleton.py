@@ -121,6 +121,16 @@ def skeletonize(pixels: DataFrame) -> DataFrame:
     return pixels.groupBy("image_id").applyInPandas(work, "image_id long, r int, c int")
 
 
+def simplify(pixels: DataFrame) -> DataFrame:
+    """image_id, r, c: each image as simplified() leaves it."""
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        image, top, left = dense(frame, 2)
+        return _pixels_of(simplified(image), frame["image_id"].iloc[0], top, left)
+
+    return pixels.groupBy("image_id").applyInPandas(work, "image_id long, r int, c int")
+
+
 def graph_of(image: np.ndarray) -> tuple[list[list[tuple[int, int]]], list[tuple[int, int, list[tuple[int, int]]]]]:
     """Nodes (their pixels, in reading order of the first) and links (node, node, pixels from end to end) of a padded skeleton."""
     on = {(int(r), int(c)) for r, c in zip(*np.nonzero(image), strict=True)}

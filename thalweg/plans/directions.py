@@ -189,3 +189,23 @@ def migration_rates(spark, sf):
 @register("line_wkt", fx.with_("series") + " SELECT series_id, count(*) AS n FROM series GROUP BY series_id")
 def line_wkt(spark, sf):
     return spatial.wkt_line(fx.series(spark, sf)).select("series_id", F.size(F.split("wkt", ",")).cast("long").alias("n"))
+
+
+@register("dir_algorithms", "SELECT * FROM (VALUES " + ", ".join(f"('{k}', CAST({v} AS DOUBLE))" for k, v in op.ALGORITHMS.items()) + ") AS t(name, alg)")
+def dir_algorithms(spark, sf):
+    return spark.createDataFrame([(k, op.algorithm(k)) for k in op.ALGORITHMS], "name string, alg double")
+
+
+@register("path_links", fx.with_("links") + ", k AS (SELECT least(u, v) AS a, greatest(u, v) AS b, min(link_id) AS link_id FROM links GROUP BY ALL) SELECT l.link_id AS path_id, 0 AS seq, k.link_id FROM links l JOIN k ON k.a = least(l.u, l.v) AND k.b = greatest(l.u, l.v)")
+def path_links(spark, sf):
+    """Each link's two ends as a path: it takes the least of parallel links."""
+    links = fx.multigraph(spark, sf).withColumn("net_id", F.lit(0).cast("long"))
+    paths = links.select("net_id", F.col("link_id").alias("path_id"), F.posexplode(F.array("u", "v")).alias("seq", "node"))
+    return op.path_links(paths, links).select("path_id", "seq", "link_id")
+
+
+@register("dir_main_channel_guesses")
+def dir_main_channel_guesses(spark, sf):
+    links = fx.multigraph(spark, sf).withColumn("net_id", F.lit(0).cast("long"))
+    ends = lk.degrees(links).select("net_id", "node")
+    return op.main_channel_guesses(links, ends.where("node % 8 = 1"), ends.where("node % 8 = 5")).select("link_id", "us", "alg")

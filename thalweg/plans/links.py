@@ -143,11 +143,35 @@ def link_artificial_split(spark, sf):
 
 @register("linkdirs_raster", _P + ", v AS (SELECT net_id, link_id, r, c, seq / CAST(max(seq) OVER (PARTITION BY link_id) AS DOUBLE) AS v, seq FROM px) SELECT net_id, r, c, round(max_by(v, link_id * 1000 + seq), 6) AS v FROM v GROUP BY ALL")
 def linkdirs_raster(spark, sf):
-    p = _pixels(spark, sf)
-    one = p.groupBy("net_id", "link_id", "r", "c").agg(F.max("seq").alias("seq"))
-    last = p.groupBy("net_id", "link_id").agg(F.max("seq").alias("n"))
-    own = one.join(last, ["net_id", "link_id"]).withColumn("v", F.col("seq") / F.col("n"))
-    return own.groupBy("net_id", "r", "c").agg(F.round(F.max_by("v", "link_id"), 6).alias("v"))
+    return op.flow_raster(_pixels(spark, sf)).withColumn("v", F.round("v", 6))
+
+
+@register("link_unpadded", _P + " SELECT net_id, link_id, seq, r - 20 AS r, c - 20 AS c FROM px")
+def link_unpadded(spark, sf):
+    return op.unpadded(_pixels(spark, sf), 20).select("net_id", "link_id", "seq", "r", "c")
+
+
+_N = "WITH n AS (SELECT CAST(n_nationkey % 3 AS BIGINT) AS net_id, CAST(n_nationkey AS BIGINT) AS node_id, CAST(n_nationkey * 37 % 11 AS INTEGER) AS r, CAST(n_nationkey * 53 % 7 AS INTEGER) AS c FROM nation), m AS (SELECT DISTINCT CAST(s_suppkey % 3 AS BIGINT) AS net_id, CAST(s_suppkey % 13 AS INTEGER) AS r, CAST(s_nationkey % 9 AS INTEGER) AS c FROM supplier)"
+
+
+def _nodes(spark, sf):
+    return fx.table(spark, sf, "nation").selectExpr("cast(n_nationkey % 3 AS long) net_id", "cast(n_nationkey AS long) node_id", "cast(n_nationkey * 37 % 11 AS int) r", "cast(n_nationkey * 53 % 7 AS int) c")
+
+
+@register("node_add", _N + ", x AS (SELECT * FROM m ANTI JOIN n USING (net_id, r, c)), t AS (SELECT net_id, max(node_id) AS top FROM n GROUP BY net_id) SELECT net_id, node_id, r, c FROM n UNION ALL SELECT net_id, top + row_number() OVER (PARTITION BY net_id ORDER BY r, c), r, c FROM x JOIN t USING (net_id)")
+def node_add(spark, sf):
+    return op.add_nodes(_nodes(spark, sf), fx.table(spark, sf, "supplier").selectExpr("cast(s_suppkey % 3 AS long) net_id", "cast(s_suppkey % 13 AS int) r", "cast(s_nationkey % 9 AS int) c"))
+
+
+_LINKED = fx.with_("links") + ", k AS (SELECT * FROM links WHERE u % 4 > 0 AND v % 4 > 0) SELECT DISTINCT node FROM (SELECT u AS node FROM k UNION ALL SELECT v FROM k)"
+
+
+@register("node_linked", _LINKED)
+def node_linked(spark, sf):
+    """The nodes that are left with a link when the links of some nodes are deleted."""
+    links = _links(spark, sf)
+    nodes = op.ends(links).select("net_id", F.col("node").alias("node_id")).distinct()
+    return op.linked_nodes(nodes, op.delete(links, links.where("u % 4 = 0 OR v % 4 = 0").select("net_id", "link_id"))).select(F.col("node_id").alias("node"))
 
 
 @register("nearest_inlet", fx.with_("inlets", "points") + " SELECT point_id, min_by(node_id, d * 1e9 + node_id / 1e9) AS node_id, round(min(d), 6) AS dist FROM (SELECT point_id, node_id, sqrt(pow(i.x - p.x, 2) + pow(i.y - p.y, 2)) AS d FROM inlets i, points p) GROUP BY point_id")

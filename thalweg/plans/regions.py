@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from thalweg import fixtures as fx
-from thalweg.operators import raster
+from thalweg.operators import raster, skeleton
 from thalweg.operators import regions as op
 
 QUERIES: dict = {}
@@ -145,4 +145,5 @@ def max_valley_width(spark, sf):
 
 @register("px_simplified")
 def px_simplified(spark, sf):
-    return raster.opened(fx.pixels(spark, sf, -0.05), fx.images(spark, sf), "plus")
+    """On the skeleton's mask, whose order in an image decides; no SQL says that."""
+    return skeleton.simplify(fx.pixels(spark, sf, -0.05))

@@ -74,12 +74,16 @@ def series_resample(spark, sf):
     return _rounded(op.resample(fx.series(spark, sf), 20), 5)
 
 
-@register("series_smooth", _S + """, n AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM series)
-SELECT series_id, seq, round((-3 * lag(y, 2) OVER w + 12 * lag(y) OVER w + 17 * y + 12 * lead(y) OVER w - 3 * lead(y, 2) OVER w) / 35, 6) AS y FROM n WINDOW w AS (PARTITION BY series_id ORDER BY seq) QUALIFY seq >= 2 AND seq < n - 2""")
+_SMOOTH = """CASE seq WHEN 0 THEN (69 * {0} + 4 * lead({0}) OVER w - 6 * lead({0}, 2) OVER w + 4 * lead({0}, 3) OVER w - lead({0}, 4) OVER w) / 70
+  WHEN 1 THEN (2 * lag({0}) OVER w + 27 * {0} + 12 * lead({0}) OVER w - 8 * lead({0}, 2) OVER w + 2 * lead({0}, 3) OVER w) / 35
+  WHEN n - 1 THEN (69 * {0} + 4 * lag({0}) OVER w - 6 * lag({0}, 2) OVER w + 4 * lag({0}, 3) OVER w - lag({0}, 4) OVER w) / 70
+  WHEN n - 2 THEN (2 * lead({0}) OVER w + 27 * {0} + 12 * lag({0}) OVER w - 8 * lag({0}, 2) OVER w + 2 * lag({0}, 3) OVER w) / 35
+  ELSE (-3 * lag({0}, 2) OVER w + 12 * lag({0}) OVER w + 17 * {0} + 12 * lead({0}) OVER w - 3 * lead({0}, 2) OVER w) / 35 END"""
+
+
+@register("series_smooth", _S + ", n AS (SELECT *, count(*) OVER (PARTITION BY series_id) AS n FROM series) SELECT series_id, seq, round(" + _SMOOTH.format("x") + ", 6) AS x, round(" + _SMOOTH.format("y") + ", 6) AS y FROM n WINDOW w AS (PARTITION BY series_id ORDER BY seq)")
 def series_smooth(spark, sf):
-    lines = fx.series(spark, sf)
-    n = lines.groupBy("series_id").agg(F.count("*").alias("n"))
-    return op.smooth(lines).join(n, "series_id").where("seq >= 2 AND seq < n - 2").select("series_id", "seq", F.round("y", 6).alias("y"))
+    return op.smooth(fx.series(spark, sf)).select("series_id", "seq", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
 
 
 @register("series_inflections_oversmooth")

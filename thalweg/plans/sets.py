@@ -72,13 +72,41 @@ def set_pop(spark, sf):
     return op.last(op.unique(_abc(spark, sf)[0]))
 
 
-@register("set_subset", _S + ", d AS (SELECT * FROM a WHERE item < 6) SELECT d.set_id, bool_and(c.item IS NOT NULL) AS subset FROM d LEFT JOIN c USING (set_id, item) GROUP BY d.set_id")
+@register("set_popped", _S + " SELECT set_id, ord, item FROM a QUALIFY row_number() OVER (PARTITION BY set_id ORDER BY ord DESC) > 1")
+def set_popped(spark, sf):
+    return op.popped(_abc(spark, sf)[0])
+
+
+@register("set_size", _S + " SELECT set_id, count(*) AS n FROM a GROUP BY set_id")
+def set_size(spark, sf):
+    return op.size(_abc(spark, sf)[0])
+
+
+@register("set_contains", _S + " SELECT set_id, c.item, a.item IS NOT NULL AS inside FROM c LEFT JOIN a USING (set_id, item)")
+def set_contains(spark, sf):
+    a, _, c = _abc(spark, sf)
+    return op.contains(a, op.unique(c))
+
+
+@register("set_backwards", _S + " SELECT set_id, item, CAST(row_number() OVER (PARTITION BY set_id ORDER BY ord DESC) - 1 AS INTEGER) AS idx FROM a")
+def set_backwards(spark, sf):
+    return op.backwards(_abc(spark, sf)[0]).select("set_id", "item", F.col("idx").cast("int").alias("idx"))
+
+
+@register("set_superset", _S + ", d AS (SELECT * FROM a SEMI JOIN b USING (set_id, item)) SELECT d.set_id, bool_and(b.item IS NOT NULL) AS superset FROM d LEFT JOIN b USING (set_id, item) GROUP BY d.set_id")
+def set_superset(spark, sf):
+    """Each set against what it shares with another."""
+    a, b, _ = _abc(spark, sf)
+    return op.is_superset(b, op.keep(a, b))
+
+
+@register("set_subset", _S + " SELECT a.set_id, bool_and(c.item IS NOT NULL) AS subset FROM a LEFT JOIN c USING (set_id, item) GROUP BY a.set_id")
 def set_subset(spark, sf):
     a, _, c = _abc(spark, sf)
-    return op.is_subset(a.where("item < 6"), c)
+    return op.is_subset(a, c)
 
 
-@register("set_equal", _S + ", d AS (SELECT * FROM a WHERE item < 4), f AS (SELECT * FROM c WHERE item < 4), x AS (SELECT set_id, string_agg(item, ',' ORDER BY ord) AS l FROM d GROUP BY 1), y AS (SELECT set_id, string_agg(item, ',' ORDER BY ord) AS l FROM f GROUP BY 1) SELECT set_id, x.l IS NOT DISTINCT FROM y.l AS equal FROM x FULL JOIN y USING (set_id)")
+@register("set_equal", _S + ", x AS (SELECT set_id, string_agg(item, ',' ORDER BY ord) AS l FROM a GROUP BY 1), y AS (SELECT set_id, string_agg(item, ',' ORDER BY ord) AS l FROM c GROUP BY 1) SELECT set_id, x.l IS NOT DISTINCT FROM y.l AS equal FROM x FULL JOIN y USING (set_id)")
 def set_equal(spark, sf):
     a, _, c = _abc(spark, sf)
-    return op.equals(a.where("item < 4"), c.where("item < 4"))
+    return op.equals(a, c)
