@@ -12,7 +12,7 @@ from thalweg.network import Centerline, Delta, StageMissing
 from thalweg.operators import directions, links, raster, regions, series, skeleton
 from thalweg.sources import geo
 
-#: A channel that splits round an island and joins again.
+#: Fixed value: a channel that splits round an island and joins again.
 LOOP = [(0, 7), (1, 6), (2, 5), (2, 3), (3, 3), (3, 4), (3, 5), (4, 2), (4, 3), (4, 5), (4, 6), (5, 1), (5, 2), (5, 6), (5, 7), (6, 1), (6, 2), (6, 6), (6, 7), (7, 2), (7, 3), (7, 5), (7, 6), (8, 3), (8, 4), (8, 5)]
 LOOP += [(r, 4) for r in range(9, 15)]
 
@@ -30,6 +30,7 @@ def gt_of(ncols):
 
 
 def test_curvature_of_a_parabola(spark):
+    # fixed values: the line, and what is expected of it
     ys = [1, 4, 9, 16, 25, 16, 9, 4, 1, 0]
     line = spark.createDataFrame([(0, k, float(k + 1), float(y)) for k, y in enumerate(ys)], "series_id long, seq int, x double, y double")
     got = series.curvature(line).orderBy("seq").collect()
@@ -47,6 +48,40 @@ def test_facade_curvature_of_a_fold(spark):
     assert got == pytest.approx([0, 0, 0, 0, 0, np.pi / 2, np.pi / 2, 0, 0, 0, 0], abs=1e-9)
 
 
+def test_curvature_smoothed_to_a_variation(spark):
+    rng = np.random.default_rng(5)
+    noisy = {0: np.cumsum(rng.random(80)) + rng.normal(size=80), 1: rng.random(7), 2: np.ones(40), 3: np.arange(60.0) ** 2}
+    rows = [(k, i, float(v)) for k, vs in noisy.items() for i, v in enumerate(vs)] + [(4, 0, None)]
+    curves = spark.createDataFrame(rows, "series_id long, seq int, curv double")
+    got = defaultdict(list)
+    for r in series.smooth_to_variation(curves, 1.0, 40.0).orderBy("series_id", "seq").collect():
+        got[r.series_id].append(r)
+    # brute force: least-squares cubics, a window at a time
+    def smoothed(v, window):
+        half, out = window // 2, []
+        for i in range(len(v)):
+            at = min(max(i - half, 0), len(v) - window)
+            out.append(np.polyval(np.polyfit(np.arange(window) - (i - at), v[at : at + window], 3), 0))
+        return np.array(out)
+    for k in (0, 3):
+        for window in range(5, len(noisy[k]) // 2 + 1, 2):
+            out = smoothed(noisy[k], window)
+            d = np.diff(out)
+            cv = d.std() / d.mean()
+            if abs((cv - 1) / cv) <= 0.4:
+                break
+        assert got[k][0].window == window and got[k][0].cv == pytest.approx(cv)
+        assert got[k][0].found == (abs((cv - 1) / cv) <= 0.4)
+        assert [r.curv for r in got[k]] == pytest.approx(list(out))
+    assert [r.curv for r in got[1]] == pytest.approx(list(noisy[1])) and got[1][0].window is None and not got[1][0].found
+    assert [r.curv for r in got[2]] == pytest.approx([1.0] * 40) and not got[2][0].found
+    assert [(r.curv, r.window, r.cv) for r in got[4]] == [(0.0, None, None)]
+    line = Centerline(spark.createDataFrame([(0, i, float(i), float(np.sin(i / 3))) for i in range(40)], "series_id long, seq int, x double, y double"))
+    raw = [r.curv for r in line.curvature().orderBy("seq").collect()]
+    assert [r.curv for r in line.smoothed_curvature(7).orderBy("seq").collect()] == pytest.approx(list(smoothed(np.array(raw), 7)))
+    assert line.curvature_of_variation(1.0).count() == 40 and line.inflections_oversmooth(6).count() == 1
+
+
 def test_link_widths(spark):
     d = [1.0] * 8
     px = spark.createDataFrame([(0, 5, k, k, 3, v) for k, v in enumerate(d)], "net_id long, link_id long, seq int, r int, c int, d double")

@@ -176,3 +176,14 @@ class Centerline:
 
     def inflections(self) -> DataFrame:
         return series.inflections(self.curvature())
+
+    def smoothed_curvature(self, window: int, order: int = 3) -> DataFrame:
+        """The curvature of each vertex, smoothed along its line."""
+        return series.smooth(self.curvature(), ("curv",), window, order)
+
+    def curvature_of_variation(self, target: float, tolerance: float = 10.0) -> DataFrame:
+        """The curvature of each vertex, smoothed until its differences vary as wanted."""
+        return series.smooth_to_variation(self.curvature(), target, tolerance)
+
+    def inflections_oversmooth(self, most: int) -> DataFrame:
+        return series.inflections_oversmooth(self.lines, most)

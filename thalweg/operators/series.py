@@ -84,6 +84,12 @@ def savgol_weights(window: int, order: int) -> np.ndarray:
     return a @ np.linalg.pinv(a)
 
 
+def savgol(values: np.ndarray, window: int, order: int) -> np.ndarray:
+    """One line's values smoothed as smooth() does."""
+    w, half = savgol_weights(window, order), window // 2
+    return np.concatenate((w[:half] @ values[:window], np.convolve(values, w[half][::-1], "valid"), w[half + 1 :] @ values[-window:]))
+
+
 def smooth(lines: DataFrame, columns: tuple[str, ...] = ("x", "y"), window: int = 5, order: int = 3, passes: int = 1) -> DataFrame:
     """Savitzky-Golay smoothing: a moving polynomial, and at the ends the polynomial of the first and last window; lines shorter than the window stay."""
     weights, half = savgol_weights(window, order), window // 2
@@ -122,8 +128,7 @@ def inflections_oversmooth(lines: DataFrame, most: int, order: int = 3) -> DataF
         xy = frame[["x", "y"]].to_numpy()
         n = len(xy)
         for window in range(order + 2 + (order + 1) % 2, n + 1, 2):
-            w, half = savgol_weights(window, order), window // 2
-            sm = np.stack([np.concatenate((w[:half] @ c[:window], np.convolve(c, w[half][::-1], "valid"), w[half + 1 :] @ c[-window:])) for c in xy.T], axis=1)
+            sm = np.stack([savgol(c, window, order) for c in xy.T], axis=1)
             d = np.diff(sm, axis=0)
             turn = d[:-1, 0] * d[1:, 1] - d[:-1, 1] * d[1:, 0]
             at = np.flatnonzero(turn[:-1] * turn[1:] < 0) + 1
@@ -133,3 +138,30 @@ def inflections_oversmooth(lines: DataFrame, most: int, order: int = 3) -> DataF
 
     kind = lines.schema["series_id"].dataType.simpleString()
     return lines.groupBy("series_id").applyInPandas(search, f"series_id {kind}, window int, places array<int>")
+
+
+def smooth_to_variation(curves: DataFrame, target: float, tolerance: float = 10.0, value: str = "curv", order: int = 3) -> DataFrame:
+    """series_id, seq, the smoothed value, window, cv, found: each line under the first window whose differences vary as wanted.
+
+    cv is the standard deviation over the mean of the differences between neighbours, and is near enough when it and target are no more
+    than tolerance percent of it apart. Windows grow by a hundredth of the line up to half of it; where none is near enough (found is
+    false) the last one holds, and lines too short for any keep their values (window and cv null). Null values count as 0.
+    A line is smoothed as a whole, so a task holds one line.
+    """
+
+    def search(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("seq")
+        raw = frame[value].fillna(0.0).to_numpy(float)
+        step = max(len(raw) // 100, 2)
+        window = max(step, order + 1) | 1
+        out, used, cv, found = raw, None, None, False
+        while window <= len(raw) / 2 and not found:
+            out, used = savgol(raw, window, order), window
+            d = np.diff(out)
+            cv = float(d.std() / d.mean()) if d.mean() else float("inf")
+            found = np.isfinite(cv) and cv != 0 and abs((cv - target) / cv) * 100 <= tolerance
+            window = (window + step) | 1
+        return pd.DataFrame({"series_id": frame["series_id"], "seq": frame["seq"], value: out, "window": pd.array([used] * len(raw), "Int32"), "cv": pd.array([cv] * len(raw), "Float64"), "found": bool(found)})
+
+    kind = curves.schema["series_id"].dataType.simpleString()
+    return curves.select("series_id", "seq", F.col(value).cast("double")).groupBy("series_id").applyInPandas(search, f"series_id {kind}, seq int, {value} double, window int, cv double, found boolean")

@@ -90,3 +90,8 @@ def series_smooth(spark, sf):
 def series_inflections_oversmooth(spark, sf):
     found = op.inflections_oversmooth(fx.series(spark, sf), 6)
     return found.withColumn("places", F.array_join("places", ","))
+
+
+@register("series_curvature_to_variation")
+def series_curvature_to_variation(spark, sf):
+    return op.smooth_to_variation(op.curvature(fx.series(spark, sf)), 3.0).withColumns({c: F.round(c, 6) for c in ("curv", "cv")})
