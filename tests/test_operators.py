@@ -236,6 +236,69 @@ def test_spurs_bridges_and_cycles(spark):
     assert {r.link_id for r in directions.cycles(df).collect()} == {k for k, (u, v) in edges.items() if reach(v, u)}
 
 
+def cyclic(pairs):
+    left = list(pairs)
+    while True:
+        entered = {v for _, v in left}
+        rest = [e for e in left if e[0] in entered]
+        if len(rest) == len(left):
+            return bool(left)
+        left = rest
+
+
+def test_cycle_flips_are_the_fewest(spark):
+    """Against every set of flips, on networks of a few links."""
+    rng = random.Random(12)
+    nets = {n: {k: (rng.randrange(7), rng.randrange(7)) for k in range(9)} for n in range(40)}
+    nets = {n: {k: e for k, e in own.items() if e[0] != e[1]} for n, own in nets.items()}
+    nets[40] = {0: (0, 1), 1: (1, 1), 2: (1, 2)}  # no flip takes away a link from a node to itself
+    df = spark.createDataFrame([(n, k, u, v) for n, own in nets.items() for k, (u, v) in own.items()], "net_id long, link_id long, u long, v long")
+    ok = spark.createDataFrame([(n, 0) for n in nets], "net_id long, node long")
+    parts = defaultdict(set)
+    for r in directions.cycles(df).collect():
+        parts[r.net_id, r.cycle] |= set(nets[r.net_id][r.link_id])
+    got = defaultdict(set)
+    for r in directions.cycle_flips(df, ok).collect():
+        assert r.fixed == (r.link_id is not None)
+        got[r.net_id, r.cycle] |= {r.link_id} if r.fixed else set()
+    assert got.keys() == parts.keys() and len(parts) > 10
+
+    def fine(n, nodes, flips):
+        own = {k: (v, u) if k in flips else (u, v) for k, (u, v) in nets[n].items()}
+        inside = [e for e in own.values() if set(e) <= nodes]
+        balanced = all({u == x for u, v in own.values() if x in (u, v)} == {True, False} for x in nodes - {0})
+        return balanced and not cyclic(inside)
+
+    for (n, _), nodes in parts.items():
+        inner = [k for k, e in nets[n].items() if set(e) <= nodes]
+        sizes = [bin(m).count("1") for m in range(1 << len(inner)) if fine(n, nodes, {k for i, k in enumerate(inner) if m >> i & 1})]
+        flips = got[n, _]
+        assert len(flips) == min(sizes, default=0)
+        assert not flips or fine(n, nodes, flips)
+    kept = directions.cycle_flips(df, ok, df.select("net_id", "link_id"))
+    assert not kept.where("fixed").count() and kept.count() == len(parts)
+    none = directions.cycle_flips(df.where("link_id = 0 AND u <> v"), ok)
+    assert none.count() == 0
+
+
+def test_cycles_are_set_again_by_angles(spark):
+    at = {0: (0, 0), 1: (1, 0), 2: (2, 1), 3: (2, -1), 4: (3, 0), 5: (4, 0)}
+    edges = {0: (0, 1), 1: (1, 2), 2: (2, 4), 3: (4, 3), 4: (3, 1), 5: (4, 5)}  # 1, 2, 4, 3 flow in a circle
+    rows = [(n, k, u, v, 1.0, float(at[v][0] - at[u][0]), float(at[v][1] - at[u][1])) for n in (0, 1, 2) for k, (u, v) in edges.items()]
+    df = spark.createDataFrame(rows, "net_id long, link_id long, u long, v long, len double, dx double, dy double")
+    net, vectors = df.drop("dx", "dy"), df.select("net_id", "link_id", "dx", "dy")
+    right = {0: 0, 1: 1, 2: 2, 3: 3, 4: 1, 5: 4}
+    sure, unsure = directions.algorithm("manual_set"), directions.algorithm("sp_links")
+    facts = [(0, k, u, sure if k in (0, 5) else unsure) for k, (u, _) in edges.items()]
+    facts += [(1, k, u, sure) for k, (u, _) in edges.items()] + [(2, k, us, unsure) for k, us in right.items()]
+    facts = spark.createDataFrame(facts, "net_id long, link_id long, us long, alg double")
+    got = {(r.net_id, r.link_id): (r.us, r.alg) for r in directions.reset_cycles(net, vectors, facts).collect()}
+    assert {k: us for (n, k), (us, _) in got.items() if n == 0} == right
+    assert {alg for (n, k), (_, alg) in got.items() if n == 0 and k not in (0, 5)} <= {directions.algorithm("known_fdr_rs"), directions.algorithm("continuity")}
+    assert {k: x for (n, k), x in got.items() if n == 1} == {k: (u, sure) for k, (u, _) in edges.items()}  # all sure: left alone
+    assert {k: x for (n, k), x in got.items() if n == 2} == {k: (us, unsure) for k, us in right.items()}  # no cycle
+
+
 def test_shortest(spark):
     rng = random.Random(9)
     edges = [(k, rng.randrange(20), rng.randrange(20), float(rng.randint(1, 9))) for k in range(60)]

@@ -6,7 +6,7 @@ import pytest
 from thalweg.plans import registered
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["px_conn8_reflect", "px_erode_plus", "px_downsample", "geo_inverse", "blob_moments", "edt", "series_curvature", "series_resample", "set_symdiff", "dag_membership", "dag_dmi", "link_len_wid", "junction_angles", "nearest_inlet", "dir_check_sources", "transect_bi", "interpolate", "mesh_transects"]
+SAMPLE = ["px_conn8_reflect", "px_erode_plus", "px_downsample", "geo_inverse", "blob_moments", "edt", "series_curvature", "series_resample", "set_symdiff", "dag_membership", "dag_dmi", "link_len_wid", "junction_angles", "nearest_inlet", "dir_check_sources", "dir_cycle_flips", "transect_bi", "interpolate", "mesh_transects"]
 
 
 @pytest.fixture(scope="module")

@@ -74,6 +74,17 @@ def multigraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def rings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """net_id, link_id, u, v: every six customers are the links of a ring that flows in a circle, with a link into node 0 and one out of node 1 to 5."""
+    c = table(spark, sf_dir, "customer").select(F.expr("c_custkey div 6").alias("net_id"), (F.col("c_custkey") % 6).alias("k"))
+    a, b, ahead = F.col("k"), (F.col("k") + 1) % 6, F.col("net_id") % 2 == 0
+    ring = c.select("net_id", F.col("k").alias("link_id"), F.when(ahead, a).otherwise(b).alias("u"), F.when(ahead, b).otherwise(a).alias("v"))
+    net = c.select("net_id").distinct()
+    into = net.select("net_id", F.lit(6).alias("link_id"), F.lit(6).alias("u"), F.lit(0).alias("v"))
+    out = net.select("net_id", F.lit(7).alias("link_id"), (1 + F.col("net_id") % 5).alias("u"), F.lit(7).alias("v"))
+    return ring.unionByName(into).unionByName(out).select(*[F.col(c).cast("long").alias(c) for c in ("net_id", "link_id", "u", "v")])
+
+
 def inlets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """point_id, x, y of suppliers as points."""
     return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("point_id"), (F.col("s_suppkey") % 97).cast("double").alias("x"), F.col("s_acctbal").alias("y"))
@@ -104,6 +115,9 @@ e AS (SELECT CAST(0 AS BIGINT) AS u, 100 + sn AS v, sum(q) AS w FROM base GROUP
   UNION ALL SELECT 100 + sn, 1000 + b, sum(q) FROM base WHERE (sn * 7 + b * 3) % 5 < 2 GROUP BY sn, b
   UNION ALL SELECT 1000 + b, 10000 + cr, sum(q) FROM base WHERE (b + cr) % 3 > 0 GROUP BY b, cr)""",
     "links": "links AS (SELECT CAST(c_custkey AS BIGINT) AS link_id, CAST(c_custkey % 1009 AS BIGINT) AS u, CAST((c_custkey % 1009 + c_custkey // 1300) * 31 % 1009 AS BIGINT) AS v, 1 + abs(c_acctbal) / 100 AS wid, CAST(c_nationkey + 10 AS DOUBLE) AS len FROM customer)",
+    "rings": """ring AS (SELECT c_custkey // 6 AS net_id, c_custkey % 6 AS k FROM customer), ringed AS (SELECT net_id, 1 + net_id % 5 AS b, count(*) = 6 AS whole FROM ring GROUP BY 1),
+rings AS (SELECT net_id, k AS link_id, CASE WHEN net_id % 2 = 0 THEN k ELSE (k + 1) % 6 END AS u, CASE WHEN net_id % 2 = 0 THEN (k + 1) % 6 ELSE k END AS v FROM ring
+  UNION ALL SELECT net_id, 6, 6, 0 FROM ringed UNION ALL SELECT net_id, 7, b, 7 FROM ringed)""",
     "inlets": "inlets AS (SELECT s_suppkey AS point_id, CAST(s_suppkey % 97 AS DOUBLE) AS x, s_acctbal AS y FROM supplier)",
     "points": "points AS (SELECT c_custkey AS node_id, CAST(c_custkey % 97 AS DOUBLE) AS x, c_acctbal AS y FROM customer)",
     "sets": "sets AS (SELECT o_custkey AS set_id, CAST((l_orderkey * 10 + l_linenumber) * 64 + l_partkey % 50 AS BIGINT) AS ord, l_partkey % 50 AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",

@@ -89,7 +89,7 @@ class Network:
 
     @cached_property
     def directed(self) -> DataFrame:
-        """Links with u the upper end; the rest follow by angles from known ones, by distance to outlets, and repair."""
+        """Links with u the upper end; the rest follow by angles from known ones, by distance to outlets, and repair of bad nodes and cycles."""
         ins, outs = self._ends()
         net = self.pruned
         facts = stored(directions.parallel_facts(net, self._guesses()))
@@ -97,7 +97,23 @@ class Network:
         facts = stored(directions.known_angle_facts(net, vectors, facts, [k / 10 for k in range(1, 21)]))
         rest = directions.shortest_path_guesses(net, outs).join(facts.select("net_id", "link_id"), ["net_id", "link_id"], "left_anti")
         facts = facts.unionByName(rest.withColumn("alg", F.lit(directions.algorithm("sp_links"))))
-        return stored(directions.repaired(directions.apply_facts(net, facts), ins.unionByName(outs)))
+        ends = ins.unionByName(outs)
+        flow = stored(directions.repaired(directions.apply_facts(net, facts), ends))
+        if not directions.cycles(flow).limit(1).count():
+            return flow
+        # cycles: set again by angles what isn't sure, then the fewest flips
+        was = flow.select("net_id", "link_id", "u").join(facts.select("net_id", "link_id", "us", "alg"), ["net_id", "link_id"], "left")
+        alg = F.when(F.col("us") == F.col("u"), F.col("alg")).otherwise(F.lit(directions.algorithm("sourcesinkfix")))
+        facts = directions.reset_cycles(net, vectors, stored(was.select("net_id", "link_id", F.col("u").alias("us"), alg.alias("alg"))))
+        flow = stored(directions.repaired(directions.apply_facts(net, facts), ends))
+        manual = facts.where(F.col("alg") == directions.algorithm("manual_set"))
+        flips = directions.cycle_flips(flow, ends, manual).where("fixed")
+        return stored(links.flip(flow, flips))
+
+    @cached_property
+    def cycles(self) -> DataFrame:
+        """net_id, cycle, link_id of the cycles that couldn't be repaired."""
+        return stored(directions.cycles(self.directed))
 
     @cached_property
     def junctions(self) -> DataFrame:
@@ -126,8 +142,7 @@ class Delta(Network):
     """A network from inlets to the sea."""
 
     def metrics(self, weight: str = "wid_adj") -> dict[str, DataFrame]:
-        cyclic = directions.cycles(self.directed)
-        if cyclic.limit(1).count():
+        if self.cycles.limit(1).count():
             raise delta_metrics.CyclicNetwork("links flow in a cycle")
         return delta_metrics.metrics(delta_metrics.graph(self.directed, weight))
 

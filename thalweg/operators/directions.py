@@ -8,6 +8,7 @@ runs per network.
 from __future__ import annotations
 
 import heapq
+import itertools
 from collections import defaultdict
 from collections.abc import Iterable
 
@@ -27,6 +28,9 @@ ALGORITHMS = {
     "short_no_bktrck": 25, "wid_pctdiff": 26,
 }
 
+#: Ways so sure that a cycle doesn't unset them.
+RELIABLE = ("manual_set", "inletoutlet", "main_chans", "bridges", "longest_steepest")
+
 
 def algorithm(name: str) -> float:
     return float(ALGORITHMS[name])
@@ -345,9 +349,9 @@ class Net:
                     best = angle if best is None else min(best, angle)
         return best
 
-    def set_by_angles(self, threshold: float, least_len: float) -> None:
+    def set_by_angles(self, threshold: float, least_len: float, alg: str = "known_fdr", only: Iterable[int] | None = None) -> None:
         known = lambda k: sum(x in self.us for n in (self.u[k], self.v[k]) for x in self.at[n] if x != k)
-        heap = [(-known(k), -self.len[k], k) for k in self.u if k not in self.us and self.len[k] >= least_len]
+        heap = [(-known(k), -self.len[k], k) for k in (self.u if only is None else only) if k not in self.us and self.len[k] >= least_len]
         heapq.heapify(heap)
         while heap:
             n, size, k = heapq.heappop(heap)
@@ -358,55 +362,163 @@ class Net:
                 continue
             turns = [(t, us) for us in (self.u[k], self.v[k]) if (t := self.turn(k, us)) is not None]
             if turns and min(turns)[0] < threshold:
-                self.set(k, min(turns)[1], algorithm("known_fdr"))
+                self.set(k, min(turns)[1], algorithm(alg))
+
+
+def strong_parts(edges: Iterable[tuple[int, int]]) -> dict[int, int]:
+    """The least node of each node's strongly connected part."""
+    out = defaultdict(list)
+    for u, v in edges:
+        out[u].append(v)
+    index, low, on, stack, part = {}, {}, set(), [], {}
+    for start in list(out):
+        if start in index:
+            continue
+        work = [(start, iter(out[start]))]
+        index[start] = low[start] = len(index)
+        stack.append(start)
+        on.add(start)
+        while work:
+            node, rest = work[-1]
+            for nxt in rest:
+                if nxt not in index:
+                    index[nxt] = low[nxt] = len(index)
+                    stack.append(nxt)
+                    on.add(nxt)
+                    work.append((nxt, iter(out[nxt])))
+                    break
+                if nxt in on:
+                    low[node] = min(low[node], index[nxt])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[node])
+                if low[node] == index[node]:
+                    members = []
+                    while True:
+                        x = stack.pop()
+                        on.discard(x)
+                        members.append(x)
+                        if x == node:
+                            break
+                    for x in members:
+                        part[x] = min(members)
+    return part
 
 
 def cycles(links: DataFrame) -> DataFrame:
     """net_id, cycle, link_id: the links inside strongly connected parts of each network, numbered; none in a network without cycles."""
 
     def find(frame: pd.DataFrame) -> pd.DataFrame:
-        out = defaultdict(list)
-        for u, v in zip(frame["u"], frame["v"], strict=True):
-            out[u].append(v)
-        index, low, on, stack, part = {}, {}, set(), [], {}
-        for start in list(out):
-            if start in index:
-                continue
-            work = [(start, iter(out[start]))]
-            index[start] = low[start] = len(index)
-            stack.append(start)
-            on.add(start)
-            while work:
-                node, rest = work[-1]
-                for nxt in rest:
-                    if nxt not in index:
-                        index[nxt] = low[nxt] = len(index)
-                        stack.append(nxt)
-                        on.add(nxt)
-                        work.append((nxt, iter(out[nxt])))
-                        break
-                    if nxt in on:
-                        low[node] = min(low[node], index[nxt])
-                else:
-                    work.pop()
-                    if work:
-                        low[work[-1][0]] = min(low[work[-1][0]], low[node])
-                    if low[node] == index[node]:
-                        members = []
-                        while True:
-                            x = stack.pop()
-                            on.discard(x)
-                            members.append(x)
-                            if x == node:
-                                break
-                        for x in members:
-                            part[x] = min(members)
-        inside = [(part[u], k) for k, u, v in zip(frame["link_id"], frame["u"], frame["v"], strict=True) if part.get(u) is not None and part.get(u) == part.get(v)]
+        part = strong_parts(zip(frame["u"], frame["v"], strict=True))
+        inside = [(part[u], k) for k, u, v in zip(frame["link_id"], frame["u"], frame["v"], strict=True) if part[u] == part[v]]
         return pd.DataFrame({"net_id": [frame["net_id"].iloc[0]] * len(inside), "cycle": [c for c, _ in inside], "link_id": [k for _, k in inside]}).astype("int64")
 
     return _per_network(links, find, "net_id long, cycle long, link_id long")
 
 
+def reset_cycles(links: DataFrame, vectors: DataFrame, facts: DataFrame) -> DataFrame:
+    """Facts after the links of cycles are set again by their angles with known links.
+
+    links and vectors are as they were before facts (net_id, link_id, us, alg) turned them; facts name every link. In each
+    strongly connected part the links not set in one of the RELIABLE ways are unset and set again, for thresholds rising to
+    1.2; if a cycle is left, the links beside the part are unset too. An attempt that leaves a link unset, the part's nodes
+    in a cycle, or as many links in cycles as before is undone. Networks without cycles stay as they are.
+    """
+    cyclic = stored(cycles(apply_facts(links, facts)).select("net_id").distinct())
+    rows = links.select("net_id", "link_id", "u", "v", "len").join(vectors, ["net_id", "link_id"]).join(facts.select("net_id", "link_id", "us", "alg"), ["net_id", "link_id"])
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        net, sure = Net(frame), {algorithm(a) for a in RELIABLE}
+
+        def cyclic_links() -> dict[int, list[int]]:
+            part, own = strong_parts((us, net.other(k, us)) for k, us in net.us.items()), defaultdict(list)
+            for k in sorted(net.us):
+                if part[net.u[k]] == part[net.v[k]]:
+                    own[part[net.u[k]]].append(k)
+            return own
+
+        for own in list(cyclic_links().values()):
+            found = cyclic_links()
+            left = set().union(*found.values()) if found else set()
+            if left.isdisjoint(own):  # gone with a cycle beside it
+                continue
+            nodes = {n for k in own for n in (net.u[k], net.v[k])}
+            for unset in (own, sorted({k for n in nodes for k in net.at[n]})):
+                before = {k: (net.us[k], net.alg[k]) for k in unset if net.alg[k] not in sure}
+                for k in before:
+                    del net.us[k], net.alg[k]
+                for t in np.linspace(0, 1.2, 20):
+                    net.set_by_angles(float(t), 0.0, "known_fdr_rs", list(before))
+                if len(net.us) == len(net.u):
+                    now = set().union(*cyclic_links().values())
+                    if len(now) < len(left) and nodes.isdisjoint(n for k in now for n in (net.u[k], net.v[k])):
+                        break
+                for k, (us, alg) in before.items():
+                    net.us[k], net.alg[k] = us, alg
+        return net.facts(frame["net_id"].iloc[0])
+
+    again = _per_network(rows.join(cyclic, "net_id", "left_semi"), work, "net_id long, link_id long, us long, alg double")
+    same = facts.select("net_id", "link_id", "us", "alg").join(cyclic, "net_id", "left_anti")
+    return stored(same.unionByName(again))
+
+
+def cycle_flips(links: DataFrame, ok: DataFrame, keep: DataFrame | None = None, most: int = 1024) -> DataFrame:
+    """net_id, cycle, link_id, fixed: the fewest links of each strongly connected part whose flip leaves no cycle and no bad node in it.
+
+    Nodes in ok may stay sources or sinks; links in keep (net_id, link_id), and links out of a part or into it, are never
+    flipped. Without cycles and bad nodes every link into a part leads to one out of it, and cycles of several parts cannot
+    arise, so each part is judged by itself, with its own links alone in a task. Sets of flips are tried from the smallest,
+    by link ids; a part that none of the first `most` sets mends has one row without a link_id that is not fixed.
+    """
+    inside = stored(cycles(links))
+    if keep is None:
+        keep = links.select("net_id", "link_id").limit(0)
+    at = stored(inside.join(links.select("net_id", "link_id", "u", "v"), ["net_id", "link_id"]).select("net_id", "cycle", F.explode(F.array("u", "v")).alias("node")).distinct())
+    at = at.join(ok.select("net_id", "node").distinct().withColumn("ok", F.lit(True)), ["net_id", "node"], "left")
+    near = links.select("net_id", "link_id", "u", "v").join(keep.select("net_id", "link_id").distinct().withColumn("kept", F.lit(True)), ["net_id", "link_id"], "left")
+    for end in ("u", "v"):
+        near = near.join(at.select("net_id", F.col("node").alias(end), F.col("cycle").alias(f"{end}_cycle"), F.coalesce("ok", F.lit(False)).alias(f"{end}_ok")), ["net_id", end], "left")
+    near = near.where("u_cycle IS NOT NULL OR v_cycle IS NOT NULL").withColumn("cycle", F.explode(F.array_distinct(F.filter(F.array("u_cycle", "v_cycle"), lambda c: c.isNotNull()))))
+    mine = lambda end: F.coalesce(F.col(f"{end}_cycle") == F.col("cycle"), F.lit(False))
+    near = near.select("net_id", "cycle", "link_id", "u", "v", mine("u").alias("from_part"), mine("v").alias("to_part"), *[F.coalesce(c, F.lit(False)).alias(c) for c in ("kept", "u_ok", "v_ok")])
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("link_id")
+        own = frame[frame["from_part"] & frame["to_part"]]
+        pair = dict(zip(own["link_id"], zip(own["u"], own["v"], strict=True), strict=True))
+        free = list(own.loc[~own["kept"], "link_id"])
+        fine = set(frame.loc[frame["from_part"] & frame["u_ok"], "u"]) | set(frame.loc[frame["to_part"] & frame["v_ok"], "v"])
+        fed, drained = set(frame.loc[~frame["from_part"], "v"]), set(frame.loc[~frame["to_part"], "u"])
+        nodes = {n for p in pair.values() for n in p}
+
+        def mended(flips: tuple[int, ...]) -> bool:
+            out, entering = defaultdict(list), dict.fromkeys(nodes, 0)
+            for k, (u, v) in pair.items():
+                a, b = (v, u) if k in flips else (u, v)
+                out[a].append(b)
+                entering[b] += 1
+            if any(n not in fine and not ((entering[n] or n in fed) and (out.get(n) or n in drained)) for n in nodes):
+                return False
+            todo, seen = [n for n in nodes if not entering[n]], 0
+            while todo:  # peel off what nothing enters
+                n = todo.pop()
+                seen += 1
+                for x in out.get(n, ()):
+                    entering[x] -= 1
+                    if not entering[x]:
+                        todo.append(x)
+            return seen == len(nodes)
+
+        sets = itertools.chain.from_iterable(itertools.combinations(free, n) for n in range(1, len(free) + 1))
+        best = next((flips for flips in itertools.islice(sets, most) if mended(flips)), None)
+        net, cycle = frame["net_id"].iloc[0], frame["cycle"].iloc[0]
+        rows = [(net, cycle, k, True) for k in best] if best else [(net, cycle, None, False)]
+        return pd.DataFrame(rows, columns=["net_id", "cycle", "link_id", "fixed"]).astype({"link_id": "Int64"})
+
+    return stored(near.groupBy("net_id", "cycle").applyInPandas(work, "net_id long, cycle long, link_id long, fixed boolean"))
+
+
 def repaired(links: DataFrame, ok: DataFrame) -> DataFrame:
     """Links after flips that take away inner sources and sinks: for each, the shortest link at it whose flip makes no cycle and no new bad node.
 

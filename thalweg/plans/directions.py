@@ -10,6 +10,7 @@ from thalweg import fixtures as fx
 from thalweg.operators import directions as op
 from thalweg.operators import links as lk
 from thalweg.operators import spatial
+from thalweg.operators.regions import stored
 
 QUERIES: dict = {}
 
@@ -93,6 +94,13 @@ def dir_continuity(spark, sf):
     return op.apply_facts(links, op.parallel_facts(links, facts)).select("link_id", "u", "v", "certain", "alg")
 
 
+@register("dir_cycle_flips", fx.with_("rings") + """ SELECT CAST(net_id AS BIGINT) AS net_id, CAST(link_id AS BIGINT) AS link_id, CAST(CASE WHEN NOT whole OR link_id > 5 THEN u WHEN link_id < b THEN link_id ELSE (link_id + 1) % 6 END AS BIGINT) AS u,
+CAST(CASE WHEN NOT whole OR link_id > 5 THEN v WHEN link_id < b THEN link_id + 1 ELSE link_id END AS BIGINT) AS v FROM rings JOIN ringed USING (net_id)""")
+def dir_cycle_flips(spark, sf):
+    links = stored(fx.rings(spark, sf))
+    return lk.flip(links, op.cycle_flips(links, links.select("net_id", F.col("u").alias("node")).limit(0)).where("fixed"))
+
+
 @register("dir_bridges")
 def dir_bridges(spark, sf):
     return op.bridges(_links(spark, sf)).select("link_id")
