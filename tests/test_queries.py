@@ -6,7 +6,7 @@ import pytest
 from thalweg.plans import registered
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["px_conn8_reflect", "px_erode_plus", "px_downsample", "geo_inverse", "blob_moments", "edt", "series_curvature", "series_resample", "set_symdiff", "dag_membership", "dag_dmi", "link_len_wid", "junction_angles", "nearest_inlet", "dir_check_sources", "dir_cycle_flips", "transect_bi", "interpolate", "mesh_transects"]
+SAMPLE = ["px_conn8_reflect", "px_erode_plus", "px_downsample", "geo_inverse", "blob_moments", "edt", "series_curvature", "series_resample", "set_symdiff", "dag_flux", "dag_membership", "dag_entropy", "dag_leakage", "dag_paths", "dag_dpd", "dag_fsi", "dag_tmi", "dag_dmi", "dir_shortest_dag", "link_len_wid", "junction_angles", "nearest_inlet", "dir_check_sources", "dir_cycle_flips", "transect_bi", "interpolate", "mesh_transects"]
 
 
 @pytest.fixture(scope="module")
@@ -32,19 +32,14 @@ def test_query(spark, duck, name):
 
 def test_whole_flow_graph(spark, duck):
     rows = lambda name: {tuple(r) for r in registered()[name][0](spark, SF).select("u", "v", "w").collect()}
-    whole = rows("adj_normalized_whole")
+    whole = rows("adj_normalized")
     lines = duck.sql("SELECT sum(l_quantity) FROM lineitem").fetchall()[0][0]
     for low, high in ((0, 1), (100, 200), (1000, 2000)):  # every layer carries all of it
         assert sum(w for u, _, w in whole if low <= u < high) == pytest.approx(lines)
-    pivot = registered()["adj_pivot_whole"][0](spark, SF).collect()
+    pivot = registered()["adj_pivot"][0](spark, SF).collect()
     assert {(r.u, int(c[1:]), w) for r in pivot for c, w in r.asDict().items() if c != "u" and w} == whole
 
 
-@pytest.mark.parametrize("name", ["dag_flux_whole", "dag_membership_whole", "dag_entropy_whole", "dag_leakage_whole", "dag_paths_whole", "dag_dpd_whole", "dag_fsi_whole", "dag_tmi_whole", "dir_shortest_dag_whole"])
-def test_whole_flow_query(spark, duck, name):
-    test_query(spark, duck, name)
-
-
 def test_migration_of_all_pairs(spark):
     from math import hypot
 

@@ -45,8 +45,8 @@ def series(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.select(F.col("user_id").alias("series_id"), seq.cast("int").alias("seq"), F.dayofmonth("ts").cast("double").alias("x"), F.col("value").alias("y"))
 
 
-def flow_edges(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """u, v, w of a layered flow graph: 0 to supplier nations to brands to customer regions; thinned as the SQL's "flow" is, or whole as its "flow_whole"."""
+def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """u, v, w of a layered flow graph of all line items: 0 to supplier nations to brands to customer regions."""
     t = lambda n: table(spark, sf_dir, n)
     base = (
         t("lineitem")
@@ -60,8 +60,8 @@ def flow_edges(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFra
     )
     edge = lambda df, u, v: df.groupBy(u.alias("u"), v.alias("v")).agg(F.sum("q").alias("w"))
     first = edge(base, F.lit(0).cast("long"), F.col("sn") + 100)
-    second = edge(base if whole else base.where("(sn * 7 + b * 3) % 5 < 2"), F.col("sn") + 100, F.col("b") + 1000)
-    third = edge(base if whole else base.where("(b + cr) % 3 > 0"), F.col("b") + 1000, F.col("cr") + 10000)
+    second = edge(base, F.col("sn") + 100, F.col("b") + 1000)
+    third = edge(base, F.col("b") + 1000, F.col("cr") + 10000)
     return first.unionByName(second).unionByName(third)
 
 
@@ -112,8 +112,8 @@ SQL = {
   FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN part ON l_partkey = p_partkey
   JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
 e AS (SELECT CAST(0 AS BIGINT) AS u, 100 + sn AS v, sum(q) AS w FROM base GROUP BY sn
-  UNION ALL SELECT 100 + sn, 1000 + b, sum(q) FROM base WHERE (sn * 7 + b * 3) % 5 < 2 GROUP BY sn, b
-  UNION ALL SELECT 1000 + b, 10000 + cr, sum(q) FROM base WHERE (b + cr) % 3 > 0 GROUP BY b, cr)""",
+  UNION ALL SELECT 100 + sn, 1000 + b, sum(q) FROM base GROUP BY sn, b
+  UNION ALL SELECT 1000 + b, 10000 + cr, sum(q) FROM base GROUP BY b, cr)""",
     "links": "links AS (SELECT CAST(c_custkey AS BIGINT) AS link_id, CAST(c_custkey % 1009 AS BIGINT) AS u, CAST((c_custkey % 1009 + c_custkey // 1300) * 31 % 1009 AS BIGINT) AS v, 1 + abs(c_acctbal) / 100 AS wid, CAST(c_nationkey + 10 AS DOUBLE) AS len FROM customer)",
     "rings": """ring AS (SELECT c_custkey // 6 AS net_id, c_custkey % 6 AS k FROM customer), ringed AS (SELECT net_id, 1 + net_id % 5 AS b, count(*) = 6 AS whole FROM ring GROUP BY 1),
 rings AS (SELECT net_id, k AS link_id, CASE WHEN net_id % 2 = 0 THEN k ELSE (k + 1) % 6 END AS u, CASE WHEN net_id % 2 = 0 THEN (k + 1) % 6 ELSE k END AS v FROM ring
@@ -122,7 +122,6 @@ rings AS (SELECT net_id, k AS link_id, CASE WHEN net_id % 2 = 0 THEN k ELSE (k +
     "points": "points AS (SELECT c_custkey AS node_id, CAST(c_custkey % 97 AS DOUBLE) AS x, c_acctbal AS y FROM customer)",
     "sets": "sets AS (SELECT o_custkey AS set_id, CAST((l_orderkey * 10 + l_linenumber) * 64 + l_partkey % 50 AS BIGINT) AS ord, l_partkey % 50 AS item FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
 }
-SQL["flow_whole"] = SQL["flow"].replace(" WHERE (sn * 7 + b * 3) % 5 < 2", "").replace(" WHERE (b + cr) % 3 > 0", "")
 
 
 def with_(*names: str) -> str:

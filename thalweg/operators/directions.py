@@ -426,7 +426,7 @@ def reset_cycles(links: DataFrame, vectors: DataFrame, facts: DataFrame) -> Data
     in a cycle, or as many links in cycles as before is undone. Networks without cycles stay as they are.
     """
     cyclic = stored(cycles(apply_facts(links, facts)).select("net_id").distinct())
-    rows = links.select("net_id", "link_id", "u", "v", "len").join(vectors, ["net_id", "link_id"]).join(facts.select("net_id", "link_id", "us", "alg"), ["net_id", "link_id"])
+    rows = links.select("net_id", "link_id", "u", "v", "len").join(vectors, ["net_id", "link_id"], "left").join(facts.select("net_id", "link_id", "us", "alg"), ["net_id", "link_id"])
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
         net, sure = Net(frame), {algorithm(a) for a in RELIABLE}
