@@ -151,6 +151,79 @@ def test_graph_of_the_loop(spark):
     assert {r.jtype for r in net.junctions.collect()} == {"b", "c"}
 
 
+class Turned(Delta):
+    """One of each pair of parallel links flows back."""
+
+    def _facts(self, facts, vectors):
+        one = links.parallel(self.pruned).select("net_id", F.col("link_ids")[0].alias("link_id"))
+        one = one.join(self.pruned.select("net_id", "link_id", (F.col("u") + F.col("v")).alias("both")), ["net_id", "link_id"])
+        back = super()._facts(facts, vectors).join(one, ["net_id", "link_id"], "left")
+        return back.select("net_id", "link_id", F.coalesce(F.col("both") - F.col("us"), "us").alias("us"), F.when(F.col("alg") == 0, 0.0).otherwise(directions.algorithm("sp_links")).alias("alg"))
+
+
+def test_a_cycle_is_repaired(spark):
+    flows = []
+    for kind in (Delta, Turned):
+        net = kind(frame(spark, LOOP), images(spark, 15, 10))
+        net.ends_by_sides("ns")
+        flows.append({(r.u, r.v) for r in net.directed.collect()})
+        assert not net.cycles.count()
+    assert flows[0] == flows[1] and len(flows[0]) == 3
+
+
+def to_sides(corners, p):
+    """Distance of p from an open line of corners."""
+    best = []
+    for a, b in zip(corners, corners[1:] or corners, strict=False):
+        d = (b[0] - a[0], b[1] - a[1])
+        t = 0 if d == (0, 0) else min(1, max(0, ((p[0] - a[0]) * d[0] + (p[1] - a[1]) * d[1]) / (d[0] ** 2 + d[1] ** 2)))
+        best.append(np.hypot(p[0] - a[0] - t * d[0], p[1] - a[1] - t * d[1]))
+    return min(best)
+
+
+def test_hulls_and_the_synthetic_surface(spark):
+    rng = random.Random(3)
+    nets = {n: [(rng.randrange(12), rng.randrange(15)) for _ in range(size)] for n, size in enumerate((1, 2, 3, 5, 9, 30))}
+    nets |= {6: [(k, 2 * k) for k in range(5)], 7: [(4, 4)] * 3, 8: [(0, 0), (0, 9), (3, 9), (3, 0), (1, 4)]}
+    points = spark.createDataFrame([(n, r, c) for n, own in nets.items() for r, c in own], "net_id long, r int, c int")
+    got = defaultdict(list)
+    for x in directions.hulls(points).orderBy("net_id", "seq").collect():
+        got[x.net_id].append((x.r, x.c))
+    side = lambda a, b, p: (b[0] - a[0]) * (p[1] - a[1]) - (b[1] - a[1]) * (p[0] - a[0])
+    for n, own in nets.items():
+        ring, own = got[n], sorted(set(own))
+        assert set(ring) <= set(own) and len(set(ring)) == len(ring)
+        if len(ring) > 2:
+            turns = [(a, b) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)]
+            assert all(side(a, b, p) >= 0 for a, b in turns for p in own)
+            size = [np.hypot(b[0] - a[0], b[1] - a[1]) for a, b in turns]
+            assert size[-1] == pytest.approx(max(size))  # the open one
+        else:
+            assert ring == [own[0], own[-1]][: len(own)] and all(side(own[0], own[-1], p) == 0 for p in own)
+    ins = spark.createDataFrame([(n, r % 3, c) for n, own in nets.items() for r, c in own], "net_id long, r int, c int")
+    im = spark.createDataFrame([(n, 12, 15) for n in nets], "image_id long, nrows int, ncols int")
+    px = spark.createDataFrame([(n, k, r, c) for n in nets for k, (r, c) in enumerate(((0, 0), (5, 7), (11, 14)))], "net_id long, seq int, r int, c int")
+    surface = directions.synthetic_surface(px, im, ins, points).collect()
+    assert len(surface) == 3 * len(nets)
+    high = defaultdict(list)
+    for x in directions.hulls(ins).orderBy("net_id", "seq").collect():
+        high[x.net_id].append((x.r, x.c))
+    cells = [(r, c) for r in range(12) for c in range(15)]
+    for x in surface:
+        share = lambda line: to_sides(line, (x.r, x.c)) / max(to_sides(line, p) for p in cells)  # noqa: B023, E731
+        assert x.z == pytest.approx(share(got[x.net_id]) + 1 - share(high[x.net_id]))
+    assert directions.synthetic_surface(px, im, ins.limit(0), points).count() == 0
+    slopes = spark.createDataFrame([(0, 1, 0.5), (0, 2, -0.5), (0, 3, 0.0), (0, 4, None)], "net_id long, link_id long, slope double")
+    flat = spark.createDataFrame([(0, k, 10, 20) for k in (1, 2, 3, 4)], "net_id long, link_id long, u long, v long")
+    assert {r.link_id: r.us for r in directions.surface_guesses(flat, slopes).collect()} == {1: 20, 2: 10, 3: 10}
+
+
+def test_wide_inlets(spark):
+    own = spark.createDataFrame([(0, 1, 1, 9, 10.0), (0, 2, 2, 9, 7.5), (0, 3, 3, 9, 7.6), (0, 4, 3, 9, 1.0), (1, 1, 1, 2, 0.0)], "net_id long, link_id long, u long, v long, wid double")
+    ins = spark.createDataFrame([(0, 1), (0, 2), (0, 3), (1, 1)], "net_id long, node long")
+    assert {tuple(r) for r in links.wide_inlets(own, ins).collect()} == {(0, 1), (0, 3), (1, 1)}
+
+
 def brute_spurs(edges, keep):
     edges = {k: e for k, e in edges.items() if e[0] != e[1]}
     while True:

@@ -87,16 +87,19 @@ class Network:
         more = directions.bridge_facts(net, ins, outs).join(facts.select("net_id", "link_id"), ["net_id", "link_id"], "left_anti")
         return directions.continue_flow(net, facts.unionByName(more), ins.unionByName(outs))
 
+    def _facts(self, facts: DataFrame, vectors: DataFrame) -> DataFrame:
+        """Facts for the rest of the links: by angles from known ones, then by distance to outlets."""
+        facts = stored(directions.known_angle_facts(self.pruned, vectors, facts, [k / 10 for k in range(1, 21)]))
+        rest = directions.shortest_path_guesses(self.pruned, self._ends()[1]).join(facts.select("net_id", "link_id"), ["net_id", "link_id"], "left_anti")
+        return facts.unionByName(rest.withColumn("alg", F.lit(directions.algorithm("sp_links"))))
+
     @cached_property
     def directed(self) -> DataFrame:
-        """Links with u the upper end; the rest follow by angles from known ones, by distance to outlets, and repair of bad nodes and cycles."""
+        """Links with u the upper end: the surest facts, the recipe for the rest, and repair of bad nodes and cycles."""
         ins, outs = self._ends()
         net = self.pruned
-        facts = stored(directions.parallel_facts(net, self._guesses()))
         vectors = links.link_vectors(self.link_pixels)
-        facts = stored(directions.known_angle_facts(net, vectors, facts, [k / 10 for k in range(1, 21)]))
-        rest = directions.shortest_path_guesses(net, outs).join(facts.select("net_id", "link_id"), ["net_id", "link_id"], "left_anti")
-        facts = facts.unionByName(rest.withColumn("alg", F.lit(directions.algorithm("sp_links"))))
+        facts = stored(self._facts(stored(directions.parallel_facts(net, self._guesses())), vectors))
         ends = ins.unionByName(outs)
         flow = stored(directions.repaired(directions.apply_facts(net, facts), ends))
         if not directions.cycles(flow).limit(1).count():
@@ -141,6 +144,20 @@ class Network:
 class Delta(Network):
     """A network from inlets to the sea."""
 
+    def _facts(self, facts: DataFrame, vectors: DataFrame) -> DataFrame:
+        """The delta's recipe, with guesses by the main channel, a surface from inlets down to outlets, and shortest paths."""
+        ins, outs = self._ends()
+        net = self.pruned
+        at = self.nodes.select("net_id", F.col("node_id").alias("node"), "r", "c")
+        wide = links.wide_inlets(net, ins, "wid_adj")
+        pixels = self.link_pixels.join(net.select("net_id", "link_id"), ["net_id", "link_id"], "left_semi").select("net_id", "link_id", "seq", "r", "c")
+        surface = directions.synthetic_surface(pixels, self.images, *(at.join(x.select("net_id", "node").distinct(), ["net_id", "node"], "left_semi") for x in (wide, outs)))
+        slopes = stored(directions.surface_slopes(surface))
+        shortest = directions.shortest_path_guesses(net, outs).withColumn("alg", F.lit(directions.algorithm("sp_links")))
+        main = directions.main_channel_guesses(net.withColumn("wid", F.col("wid_adj")), ins, outs)
+        guesses = main.unionByName(shortest).unionByName(directions.surface_guesses(net, slopes))
+        return directions.delta_facts(net, vectors, facts, guesses, slopes)
+
     def metrics(self, weight: str = "wid_adj") -> dict[str, DataFrame]:
         if self.cycles.limit(1).count():
             raise delta_metrics.CyclicNetwork("links flow in a cycle")

@@ -14,7 +14,7 @@ from collections.abc import Iterable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from thalweg.operators.links import ends, flip, parallel, widest_inlet
@@ -108,6 +108,74 @@ def surface_slopes(pixels: DataFrame) -> DataFrame:
     return along.groupBy("net_id", "link_id").agg(F.regr_slope("z", "dist").alias("slope"))
 
 
+def hulls(points: DataFrame) -> DataFrame:
+    """net_id, seq, r, c: the corners of the convex hull of each network's points (net_id, r, c), opened at its longest side.
+
+    They run round the hull from the end of that side to its start; of equal sides the first counts, from the corner of least
+    r and c on. Points on one line leave the line's two ends, equal points one.
+    """
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        points = sorted(set(zip(frame["r"], frame["c"], strict=True)))
+
+        def half(ordered):
+            out = []
+            for p in ordered:
+                while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                    out.pop()
+                out.append(p)
+            return out[:-1]
+
+        ring = half(points) + half(points[::-1]) or points
+        if len(ring) > 2:
+            sides = np.hypot(*(np.roll(ring, -1, axis=0) - np.array(ring)).T)
+            gap = int(np.argmax(sides)) + 1
+            ring = ring[gap:] + ring[:gap]
+        return pd.DataFrame({"net_id": frame["net_id"].iloc[0], "seq": range(len(ring)), "r": [p[0] for p in ring], "c": [p[1] for p in ring]})
+
+    return _per_network(points.select("net_id", F.col("r").cast("double").alias("r"), F.col("c").cast("double").alias("c")), work, "net_id long, seq int, r double, c double")
+
+
+def _sides(points: DataFrame, name: str) -> DataFrame:
+    """net_id and an array of the sides of each opened hull; one point is a side without length."""
+    corners = F.transform(F.sort_array(F.collect_list(F.struct("seq", "r", "c"))), lambda p: F.struct(p["r"].alias("r"), p["c"].alias("c")))
+    both = hulls(points).groupBy("net_id").agg(corners.alias("p"))
+    ends = F.when(F.size("p") == 1, F.col("p")).otherwise(F.slice("p", 2, F.size("p") - 1))
+    side = F.transform(F.arrays_zip(F.slice("p", 1, F.size(ends)).alias("a"), ends.alias("b")), lambda s: F.struct(s["a"]["r"].alias("r"), s["a"]["c"].alias("c"), (s["b"]["r"] - s["a"]["r"]).alias("dr"), (s["b"]["c"] - s["a"]["c"]).alias("dc")))
+    return both.select("net_id", side.alias(name))
+
+
+def _to_sides(sides: Column, r: Column, c: Column) -> Column:
+    """Distance of a place from the nearest of the sides."""
+
+    def far(s: Column) -> Column:
+        size = s["dr"] * s["dr"] + s["dc"] * s["dc"]
+        at = F.when(size == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((r - s["r"]) * s["dr"] + (c - s["c"]) * s["dc"]) / F.nullif(size, F.lit(0.0)))))
+        return F.hypot(r - s["r"] - at * s["dr"], c - s["c"] - at * s["dc"])
+
+    return F.array_min(F.transform(sides, far))
+
+
+def synthetic_surface(pixels: DataFrame, images: DataFrame, inlets: DataFrame, outlets: DataFrame) -> DataFrame:
+    """pixels (net_id, r, c, ...) with z, on a surface that is high at the inlets' hull and low at the outlets' (net_id, r, c).
+
+    z is the distance from the outlets' hull plus 1 less the distance from the inlets', each over its greatest in the image.
+    The greatest are found over all cells, an image's row at a time. Networks without inlets or outlets have no rows.
+    """
+    sides = stored(_sides(inlets, "ins").join(_sides(outlets, "outs"), "net_id").join(images.select(F.col("image_id").alias("net_id"), "nrows", "ncols"), "net_id"))
+    rows = sides.withColumn("r", F.explode(F.sequence(F.lit(0), F.col("nrows") - 1)))
+    top = lambda x: F.max(F.array_max(F.transform(F.sequence(F.lit(0), F.col("ncols") - 1), lambda c: _to_sides(F.col(x), F.col("r"), c)))).alias(f"{x}_top")
+    tops = sides.select("net_id", "ins", "outs").join(rows.groupBy("net_id").agg(top("ins"), top("outs")), "net_id")
+    share = lambda x: F.coalesce(_to_sides(F.col(x), F.col("r"), F.col("c")) / F.nullif(F.col(f"{x}_top"), F.lit(0.0)), F.lit(0.0))
+    return pixels.join(tops, "net_id").withColumn("z", share("outs") + 1 - share("ins")).select(*pixels.columns, "z")
+
+
+def surface_guesses(links: DataFrame, slopes: DataFrame) -> DataFrame:
+    """net_id, link_id, us, alg: the end of each link that is higher by its slope from u to v; level links flow from u."""
+    both = links.select("net_id", "link_id", "u", "v").join(slopes.where("slope IS NOT NULL"), ["net_id", "link_id"])
+    return both.select("net_id", "link_id", F.when(F.col("slope") > 0, F.col("v")).otherwise(F.col("u")).alias("us"), F.lit(algorithm("syn_dem")).alias("alg"))
+
+
 def shortest(links: DataFrame, starts: DataFrame, weight: str = "len", directed: bool = False) -> DataFrame:
     """net_id, node, dist, pred: least sum of weights from a node of starts (net_id, node), and the node before (of equals the smaller).
 
@@ -291,6 +359,52 @@ def known_angle_facts(links: DataFrame, vectors: DataFrame, facts: DataFrame, th
     return _per_network(rows, work, "net_id long, link_id long, us long, alg double")
 
 
+def delta_facts(links: DataFrame, vectors: DataFrame, facts: DataFrame, guesses: DataFrame, slopes: DataFrame) -> DataFrame:
+    """Facts with those of a delta's recipe, network by network: from the surest guesses to the least sure, with angles in between.
+
+    guesses: net_id, link_id, us, alg (main_chans, syn_dem, sp_links). slopes: net_id, link_id, slope on the synthetic surface.
+    After the main channel come links that are long and steep for their network, later long ones, then those on which all
+    three guesses agree, those on which the surface and the shortest paths agree, and what is left. Continuity follows every link.
+    """
+    names = ("main_chans", "syn_dem", "sp_links")
+    wide = guesses.groupBy("net_id", "link_id").agg(*[F.max(F.when(F.col("alg") == algorithm(n), F.col("us"))).alias(f"g_{n}") for n in names])
+    key = ["net_id", "link_id"]
+    rows = links.select(*key, "u", "v", "len").join(vectors, key, "left").join(facts.select(*key, "us", "alg"), key, "left").join(wide, key, "left").join(slopes.select(*key, "slope"), key, "left")
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        net = Net(frame)
+        guess = {n: {k: int(us) for k, us in zip(frame["link_id"], frame[f"g_{n}"], strict=True) if not pd.isna(us)} for n in names}
+        steep = {k: abs(x) for k, x in zip(frame["link_id"], frame["slope"], strict=True) if not pd.isna(x)}
+        sizes = np.array(list(net.len.values()))
+        long, middle = np.percentile(sizes, 75), np.median(sizes)
+        steeper = np.percentile(list(steep.values()), 50) if steep else 0.0
+
+        def by(way: str, name: str, holds=lambda k: True) -> None:
+            for k in sorted(guess[name]):
+                if k not in net.us and holds(k):
+                    net.set(k, guess[name][k], algorithm(way))
+
+        def angles(top: float, least_len: float = 0.0) -> None:
+            for t in np.linspace(0, top, 10):
+                net.set_by_angles(float(t), least_len)
+
+        by("main_chans", "main_chans")
+        by("longest_steepest", "syn_dem", lambda k: net.len[k] > long and steep[k] > steeper)
+        angles(0.5)
+        angles(0.7)
+        angles(0.8, 3.0)
+        by("syn_dem", "syn_dem", lambda k: net.len[k] > middle)
+        angles(0.6)
+        by("three_agree", "syn_dem", lambda k: guess["main_chans"].get(k) == guess["syn_dem"][k] == guess["sp_links"].get(k))
+        angles(0.8)
+        by("syn_dem_and_sp", "syn_dem", lambda k: guess["syn_dem"][k] == guess["sp_links"].get(k))
+        by("syn_dem", "syn_dem")
+        by("sp_links", "sp_links")
+        return net.facts(frame["net_id"].iloc[0])
+
+    return _per_network(rows, work, "net_id long, link_id long, us long, alg double")
+
+
 class Net:
     """One network, to set its links one after another."""
 

@@ -226,6 +226,14 @@ def widest_inlet(links: DataFrame, inlets: DataFrame, wid: str = "wid") -> DataF
     return total.groupBy("net_id").agg(F.max_by("node", F.struct("w", -F.col("node"))).alias("node"))
 
 
+def wide_inlets(links: DataFrame, inlets: DataFrame, wid: str = "wid", share: float = 0.25) -> DataFrame:
+    """net_id, node: inlets whose link (of several the one of least id) is less than that share narrower than the network's widest."""
+    own = ends(links).join(inlets.select("net_id", "node").distinct(), ["net_id", "node"], "left_semi").join(links.select("net_id", "link_id", wid), ["net_id", "link_id"])
+    own = own.groupBy("net_id", "node").agg(F.min_by(wid, "link_id").alias("w"))
+    top = own.groupBy("net_id").agg(F.max("w").alias("_top"))
+    return own.join(top, "net_id").where((F.col("w") > F.col("_top") * (1 - share)) | (F.col("w") == F.col("_top"))).select("net_id", "node")
+
+
 def distance_from_apex(nodes: DataFrame, inlets: DataFrame) -> DataFrame:
     """net_id, node_id, dist: from the mean place of the inlets, relative to the greatest."""
     apex = nodes.join(inlets, ["net_id", "node_id"], "left_semi").groupBy("net_id").agg(F.avg("x").alias("ax"), F.avg("y").alias("ay"))
