@@ -89,6 +89,27 @@ def dir_continuity(spark, sf):
     return op.apply_facts(links, op.parallel_facts(links, facts)).select("link_id", "u", "v", "certain", "alg")
 
 
+@register("dir_hulls", """WITH pts AS (SELECT DISTINCT CAST(s_nationkey AS BIGINT) AS net_id, CAST(s_suppkey % 97 AS DOUBLE) AS r, CAST(floor(s_acctbal / 500) AS DOUBLE) AS c FROM supplier),
+seen AS (SELECT a.net_id, a.r, a.c, b.r AS br, b.c AS bc, (b.r - a.r) * (p.c - a.c) - (b.c - a.c) * (p.r - a.r) AS side, (b.r - a.r) * (p.r - a.r) + (b.c - a.c) * (p.c - a.c) AS ahead
+  FROM pts a JOIN pts b ON a.net_id = b.net_id AND (a.r, a.c) <> (b.r, b.c) JOIN pts p ON p.net_id = a.net_id),
+sides AS (SELECT net_id, r, c FROM seen GROUP BY net_id, r, c, br, bc HAVING min(side) >= 0 AND count(*) FILTER (WHERE side = 0 AND ahead < 0) = 0)
+SELECT DISTINCT net_id, r, c FROM sides UNION SELECT net_id, min(r), min(c) FROM pts GROUP BY net_id HAVING count(*) = 1""")
+def dir_hulls(spark, sf):
+    s = fx.table(spark, sf, "supplier")
+    points = s.select(F.col("s_nationkey").cast("long").alias("net_id"), (F.col("s_suppkey") % 97).alias("r"), F.floor(F.col("s_acctbal") / 500).alias("c"))
+    return op.hulls(points).select("net_id", "r", "c")
+
+
+@register("dir_synthetic_surface", fx.with_("cells", "pixels", "images") + """ SELECT image_id, r, c, round(sqrt(pow(nrows - 1 - r, 2) + pow(c, 2)) / sqrt(pow(nrows - 1, 2) + pow(ncols - 1, 2)) + 1 - coalesce(r / nullif(nrows - 1, 0), 0), 6) AS z FROM pixels JOIN images USING (image_id)""")
+def dir_synthetic_surface(spark, sf):
+    """Inlets at both ends of the upper row, the outlet in the lower left corner."""
+    im, net = fx.images(spark, sf), F.col("image_id").alias("net_id")
+    high = im.select(net, F.lit(0).alias("r"), F.explode(F.array(F.lit(0), F.col("ncols") - 1)).alias("c"))
+    low = im.select(net, (F.col("nrows") - 1).alias("r"), F.lit(0).alias("c"))
+    px = fx.pixels(spark, sf).withColumnRenamed("image_id", "net_id")
+    return op.synthetic_surface(px, im, high, low).select(F.col("net_id").alias("image_id"), "r", "c", F.round("z", 6).alias("z"))
+
+
 @register("dir_cycle_flips", fx.with_("rings") + """ SELECT CAST(net_id AS BIGINT) AS net_id, CAST(link_id AS BIGINT) AS link_id, CAST(CASE WHEN NOT whole OR link_id > 5 THEN u WHEN link_id < b THEN link_id ELSE (link_id + 1) % 6 END AS BIGINT) AS u,
 CAST(CASE WHEN NOT whole OR link_id > 5 THEN v WHEN link_id < b THEN link_id + 1 ELSE link_id END AS BIGINT) AS v FROM rings JOIN ringed USING (net_id)""")
 def dir_cycle_flips(spark, sf):
