@@ -60,7 +60,7 @@ def clip_links(link_segments: DataFrame, shoreline: DataFrame, side: float) -> D
 def in_cells(points: DataFrame, edges: DataFrame, side: float) -> DataFrame:
     """point_id, cell_id of the polygons a point is in, from their edges (cell_id, x1, y1, x2, y2), by crossings of the way to the right.
 
-    Points and edges meet in strips of y.
+    A point on an edge is in none of the edge's polygons. Points and edges meet in strips of y.
     """
     strip = lambda y: F.floor(y / side)
     e = edges.withColumn("strip", F.explode(F.sequence(strip(F.least("y1", "y2")), strip(F.greatest("y1", "y2")))))
@@ -68,8 +68,12 @@ def in_cells(points: DataFrame, edges: DataFrame, side: float) -> DataFrame:
     over = (F.col("y1") <= F.col("y")) != (F.col("y2") <= F.col("y"))
     run = F.col("y2") - F.col("y1")
     at = F.col("x1") + (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")) / F.when(run != 0, run)
-    hits = both.where(over).where(F.col("x") < at).groupBy("point_id", "cell_id").agg(F.count("*").alias("n"))
-    return hits.where("n % 2 = 1").select("point_id", "cell_id")
+    level = (F.col("y") >= F.least("y1", "y2")) & (F.col("y") <= F.greatest("y1", "y2"))
+    beside = (F.col("x") >= F.least("x1", "x2")) & (F.col("x") <= F.greatest("x1", "x2"))
+    on = level & beside & ((F.col("x") - F.col("x1")) * run == (F.col("y") - F.col("y1")) * (F.col("x2") - F.col("x1")))
+    seen = both.select("point_id", "cell_id", on.alias("on"), F.coalesce(over & (F.col("x") < at), F.lit(False)).alias("hit")).where("on OR hit")
+    hits = seen.groupBy("point_id", "cell_id").agg(F.count_if("hit").alias("n"), F.max("on").alias("on"))
+    return hits.where("n % 2 = 1 AND NOT on").select("point_id", "cell_id")
 
 
 def cell_of_links(found: DataFrame, links: DataFrame) -> DataFrame:
