@@ -1,8 +1,11 @@
 """Places on edges and at vertices, ties of rounding, and lines with equal vertices."""
 
+import duckdb
+import pytest
 from pyspark.sql import functions as F
 
 from thalweg.operators import series, spatial
+from thalweg.plans import directions as plan
 
 
 def test_points_on_edges_are_in_no_cell(spark):
@@ -13,6 +16,27 @@ def test_points_on_edges_are_in_no_cell(spark):
     assert [tuple(r) for r in got.collect()] == [(0, 1)]
 
 
+@pytest.fixture(scope="module")
+def touching(tmp_path_factory):
+    """Events whose lines have vertices on the transects, and so crossings at their very ends: (15, 0.25) is on transect 14."""
+    folder = tmp_path_factory.mktemp("touching")
+    at = [(u, d, round(((7 * u + 13 * d) % 400) / 4, 2)) for u in range(40) for d in range(1, 31)]
+    at = [(u, d, 0.25 if d == 15 else v) for u, d, v in at]
+    rows = ", ".join(f"({u * 100 + d}, TIMESTAMP '2024-01-{d:02d}', {u}, 'view', {v}::DOUBLE)" for u, d, v in at)
+    duckdb.sql(f"COPY (SELECT event_id::BIGINT AS event_id, ts, user_id::BIGINT AS user_id, event_type, value FROM (VALUES {rows}) AS t(event_id, ts, user_id, event_type, value)) TO '{folder}/events.parquet'")
+    return str(folder)
+
+
+@pytest.mark.parametrize("name", ["transect_crossings", "transect_bi", "clip_shoreline"])
+def test_crossings_at_vertices(spark, touching, name):
+    query, sql = plan.QUERIES[name]
+    df = query(spark, touching)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{touching}/events.parquet'")
+    want = con.sql(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall()
+    assert sorted(tuple(r) for r in df.collect()) == sorted(want)
+
+
 def test_equal_vertices_have_no_curvature(spark):
     """However long the line before them: at equal vertices nothing turns over no way at all."""
     rows = [(0, k, float(k), (k * k * 37 % 101) / 7.0) for k in range(72)]

@@ -160,16 +160,21 @@ h AS (SELECT id, b_id, b_seg, x1 + t * (x2 - x1) AS x, y1 + t * (y2 - y1) AS y F
 
 
 def _crossed(spark, sf):
+    """Transects and lines; the transects' places are decimals, as in SQL, so that their sums and differences are exact."""
     lines = spatial.segments(fx.series(spark, sf))
-    k = spark.range(30)
-    transects = k.select("id", F.lit(0).alias("seg"), (F.lit(2.37) + F.col("id") * 0.9).alias("x1"), F.lit(-3.0).alias("y1"), (F.lit(2.11) + F.col("id")).alias("x2"), F.lit(120.5).alias("y2"))
+    transects = spark.range(30).selectExpr("id", "0 AS seg", "2.37 + id * 0.9 AS x1", "-3.0 AS y1", "2.11 + id AS x2", "120.5 AS y2")
     return transects, lines
 
 
+def _places(*columns):
+    """Columns rounded to 5 digits as SQL does: the scaled value, not its decimal text, is rounded."""
+    return [(F.round(F.col(c) * 1e5) / 1e5).alias(c) for c in columns]
+
+
 @register("transect_crossings", _SEG + _HIT + " SELECT id AS transect, b_id AS link_id, b_seg AS seg, round(x, 5) AS x, round(y, 5) AS y FROM h")
 def transect_crossings(spark, sf):
     t, lines = _crossed(spark, sf)
-    return spatial.crossings(t, lines, 8.0).select(F.col("a_id").alias("transect"), F.col("b_id").alias("link_id"), F.col("b_seg").alias("seg"), F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+    return spatial.crossings(t, lines, 8.0).select(F.col("a_id").alias("transect"), F.col("b_id").alias("link_id"), F.col("b_seg").alias("seg"), *_places("x", "y"))
 
 
 @register("transect_bi", _SEG + _HIT + ", d AS (SELECT DISTINCT id, b_id, 10.0 + b_id % 7 AS wid FROM h), p AS (SELECT *, wid / sum(wid) OVER (PARTITION BY id) AS p FROM d), e AS (SELECT id, count(*) AS bi, pow(2, -sum(p * log2(p))) AS ebi FROM p GROUP BY id) SELECT tr.id AS transect, coalesce(bi, 0) AS bi, round(coalesce(ebi, 0), 6) AS ebi FROM tr LEFT JOIN e USING (id)")
@@ -182,7 +187,7 @@ def transect_bi(spark, sf):
 @register("clip_shoreline", _SEG + _HIT + ", k AS (SELECT id, b_id, b_seg, x, y, row_number() OVER (PARTITION BY b_id ORDER BY b_seg, (x - s.x1) * (x - s.x1) + (y - s.y1) * (y - s.y1)) AS k FROM h JOIN (SELECT id AS b_id, seg AS b_seg, x1, y1 FROM ls) s USING (b_id, b_seg) WHERE id = 12) SELECT b_id AS id, b_seg AS seg, round(x, 5) AS x, round(y, 5) AS y FROM k WHERE k = 1")
 def clip_shoreline(spark, sf):
     t, lines = _crossed(spark, sf)
-    return spatial.clip_links(lines, t.where("id = 12"), 8.0).select("id", "seg", F.round("x", 5).alias("x"), F.round("y", 5).alias("y"))
+    return spatial.clip_links(lines, t.where("id = 12"), 8.0).select("id", "seg", *_places("x", "y"))
 
 
 @register("points_in_cells", fx.with_("points") + ", cells AS (SELECT k AS cell_id, k * 10 + 0.5 AS xa, k * 10 + 10.5 AS xb FROM range(10) t(k)) SELECT node_id AS point_id, cell_id FROM points, cells WHERE x > xa AND x < xb AND y > 100.25 AND y < 5000.75")
