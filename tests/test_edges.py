@@ -43,3 +43,17 @@ def test_equal_vertices_have_no_curvature(spark):
     rows = spark.createDataFrame([*rows, (0, 72, *rows[-1][2:]), *((0, 73 + k, 72.0 + k, float(k)) for k in range(5))], "series_id int, seq int, x double, y double")
     got = {r.seq: r.curv for r in series.curvature(rows).where(F.col("curv").isNull()).collect()}
     assert sorted(got) == [70, 71]
+
+
+def test_entropy_of_many_links(spark):
+    """Of very many links of few widths the entropy is right to its 12th digit."""
+    from math import fsum, log2
+
+    n = 60_000
+    lines = spark.range(n).selectExpr("id", "0 AS seg", "id * 1e-3 AS x1", "-1.0D AS y1", "id * 1e-3 AS x2", "1.0D AS y2")
+    across = spark.createDataFrame([(1, 0, -1.0, 0.0, 61.0, 0.0)], "id int, seg int, x1 double, y1 double, x2 double, y2 double")
+    got = spatial.braiding(across, lines, spark.range(n).selectExpr("id", "10.1D + id % 7 AS wid"), 2.0).collect()
+    wid = [10.1 + k % 7 for k in range(n)]
+    total = fsum(wid)
+    want = 2 ** -fsum(w / total * log2(w / total) for w in wid)
+    assert got[0].bi == n and got[0].ebi == pytest.approx(want, rel=2e-14)

@@ -40,12 +40,13 @@ def crossings(a: DataFrame, b: DataFrame, side: float) -> DataFrame:
 def braiding(transects: DataFrame, links: DataFrame, widths: DataFrame, side: float) -> DataFrame:
     """transect, bi (links that cross it) and ebi (two to the entropy of their widths): transects and links as segments, widths (id, wid).
 
-    A transect that nothing crosses has 0.
+    A transect that nothing crosses has 0. Equal widths are summed as one, so that many links don't add up errors.
     """
     hit = crossings(transects, links, side).select(F.col("a_id").alias("transect"), F.col("b_id").alias("id")).distinct().join(widths, "id")
-    p = hit.where("wid > 0").withColumn("p", F.col("wid") / F.sum("wid").over(Window.partitionBy("transect")))
-    e = p.groupBy("transect").agg(F.pow(F.lit(2.0), -F.sum(F.col("p") * F.log2("p"))).alias("ebi"))
-    n = hit.groupBy("transect").agg(F.count("*").alias("bi"))
+    sizes = hit.groupBy("transect", "wid").agg(F.count("*").alias("n"))
+    p = sizes.where("wid > 0").withColumn("p", F.col("wid") / F.sum(F.col("n") * F.col("wid")).over(Window.partitionBy("transect")))
+    e = p.groupBy("transect").agg(F.pow(F.lit(2.0), -F.sum(F.col("n") * F.col("p") * F.log2("p"))).alias("ebi"))
+    n = sizes.groupBy("transect").agg(F.sum("n").alias("bi"))
     every = transects.select(F.col("id").alias("transect")).distinct()
     return every.join(n, "transect", "left").join(e, "transect", "left").select("transect", F.coalesce("bi", F.lit(0)).cast("long").alias("bi"), F.coalesce("ebi", F.lit(0.0)).alias("ebi"))
 
