@@ -56,3 +56,41 @@ def test_angles_of_a_hub_take_little_work():
         side.vectors = Counted(side.vectors)
     net.set_by_angles(0.1, 0.0)
     assert len(net.us) == n and looked < 20 * n
+
+
+@pytest.mark.parametrize("connectivity", [1, 2])
+def test_components_over_tiles(spark, connectivity):
+    """Components that wind through many tiles, against a flood fill; with one tile no round is run."""
+    from thalweg.operators import regions
+
+    r = random.Random(connectivity)
+    on = {(i, y, x) for i in range(3) for y in range(23) for x in range(31) if r.random() < (0.62 if connectivity == 1 else 0.42) or (i == 2 and y % 2 == 0)}
+    on |= {(2, y, 30 if y % 4 == 1 else 0) for y in range(1, 22, 2)}  # a snake
+    near = [(a, b) for a in (-1, 0, 1) for b in (-1, 0, 1) if (a or b) and (connectivity == 2 or not a * b)]
+    want = {}
+    for p in sorted(on):
+        if p not in want:
+            todo, want[p] = [p], p[1] * 31 + p[2]
+            while todo:
+                i, y, x = todo.pop()
+                for a, b in near:
+                    if (q := (i, y + a, x + b)) in on and q not in want:
+                        want[q] = want[p]
+                        todo.append(q)
+    pixels = spark.createDataFrame(sorted(on), "image_id long, r int, c int")
+    images = spark.createDataFrame([(i, 23, 31) for i in range(3)], "image_id long, nrows int, ncols int")
+    for tile in (5, 16, 512):
+        got = regions.label(pixels, images, connectivity, tile).collect()
+        assert {(x.image_id, x.r, x.c): x.label for x in got} == want and len(got) == len(want)
+
+
+def test_components_take_few_jobs(spark, tmp_path):
+    from thalweg.operators import regions
+
+    line = spark.range(400).selectExpr("0L AS image_id", "cast(id AS int) AS r", "0 AS c")
+    images = spark.createDataFrame([(0, 400, 3)], "image_id long, nrows int, ncols int")
+    spark.sparkContext.setJobGroup("label", "")
+    assert regions.label(line, images).where("label <> 0").count() == 0
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("label")
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(jobs) < 12

@@ -1,8 +1,9 @@
 """Connected components of sparse rasters, and what is made of them: blobs, holes, islands, distances.
 
-Labels spread by rounds of least label and of the label's own label over the adjacency of pixels, which
-is one relation with one row per pixel pair that touches; each round is a join and a sum with
-map-side combine, written to the shared folder, so that no image has to fit into a task.
+An image is cut into tiles of TILE by TILE cells, and pixels are labelled within their tile by one task. Only pixels at
+the seams of tiles, and one row per component of a tile, go on: their labels spread by rounds of least label and of the
+label's own label, each a join and a sum with map-side combine, written to the shared folder. So no image has to fit
+into a task, and an image of one tile takes no round.
 """
 
 from __future__ import annotations
@@ -16,6 +17,9 @@ from pyspark.sql import functions as F
 
 from thalweg.operators.raster import EIGHT, FOUR, PIXEL, inside, on_edge, scatter
 
+#: Rows and columns of an image that a task labels at once.
+TILE = 512
+
 #: Rows of an image that the second pass of distances takes at once.
 ROWS = 32
 
@@ -45,17 +49,56 @@ def least_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         first = False
 
 
-def label(pixels: DataFrame, images: DataFrame, connectivity: int = 2) -> DataFrame:
+def tile_labels(r: np.ndarray, c: np.ndarray, connectivity: int) -> np.ndarray:
+    """For each pixel the place in r and c of its component's first pixel, by row and column."""
+    width = int(c.max()) - int(c.min()) + 3
+    flat, place, own = np.unique((r.astype("int64") - int(r.min())) * width + (c - int(c.min()) + 1), return_index=True, return_inverse=True)
+    n = len(flat)
+    pairs = []
+    for ahead in (1, width) if connectivity == 1 else (1, width - 1, width, width + 1):
+        at = np.searchsorted(flat, flat + ahead)
+        found = np.flatnonzero(flat[np.minimum(at, n - 1)] == flat + ahead)
+        pairs.append((found, at[found]))
+    a, b = (np.concatenate(x) for x in zip(*pairs, strict=True))
+    up = np.arange(n)
+    while len(a):  # roots are hung under lesser roots until all pairs have one root
+        ra, rb = up[a], up[b]
+        apart = ra != rb
+        if not apart.any():
+            break
+        a, b = a[apart], b[apart]
+        np.minimum.at(up, np.maximum(ra, rb)[apart], np.minimum(ra, rb)[apart])
+        while not np.array_equal(up, above := up[up]):
+            up = above
+    return place[up][own]
+
+
+def label(pixels: DataFrame, images: DataFrame, connectivity: int = 2, tile: int = TILE) -> DataFrame:
     """image_id, r, c, label: components of on-pixels; a label is its component's least flat index. connectivity 1: sides; 2: corners too."""
-    near = EIGHT if connectivity == 2 else FOUR
-    sized = pixels.join(images.select("image_id", "ncols"), "image_id")
-    on = stored(sized.select("image_id", "r", "c", "ncols", (F.col("r").cast("long") * F.col("ncols") + F.col("c")).alias("n")))
-    seen = scatter(pixels, near).join(images.select("image_id", "ncols"), "image_id").where("c >= 0 AND c < ncols AND r >= 0")
-    seen = seen.join(on.select(*PIXEL, F.col("n").alias("a")), list(PIXEL))
-    edges = seen.select(F.col("image_id").alias("g"), "a", (F.col("from_r").cast("long") * F.col("ncols") + F.col("from_c")).alias("b"))
-    labels = least_labels(on.select(F.col("image_id").alias("g"), "n"), edges)
-    out = labels.join(images.select(F.col("image_id").alias("g"), "ncols"), "g")
-    return out.select(F.col("g").alias("image_id"), F.floor(F.col("n") / F.col("ncols")).cast("int").alias("r"), (F.col("n") % F.col("ncols")).cast("int").alias("c"), "label")
+    sized = pixels.select(*PIXEL).join(images.select("image_id", "ncols"), "image_id")
+
+    def work(frame: pd.DataFrame) -> pd.DataFrame:
+        r, c, ncols = (frame[x].to_numpy() for x in ("r", "c", "ncols"))
+        first = tile_labels(r, c, connectivity)
+        return pd.DataFrame({"image_id": frame["image_id"], "r": r, "c": c, "ncols": ncols, "label": (r.astype("int64") * ncols + c)[first]})
+
+    kind = dict(pixels.dtypes)
+    schema = f"image_id {kind['image_id']}, r int, c int, ncols int, label long"
+    own = stored(sized.groupBy("image_id", F.expr(f"r div {tile}"), F.expr(f"c div {tile}")).applyInPandas(work, schema))
+    flat = lambda r, c: F.col(r).cast("long") * F.col("ncols") + F.col(c)
+    large = images.where((F.col("nrows") > tile) | (F.col("ncols") > tile)).select("image_id")
+    if not large.limit(1).count():
+        return own.select(*PIXEL, "label")
+    seam = lambda x: (F.col(x) % tile == 0) | (F.col(x) % tile == tile - 1)
+    seams = own.join(large, "image_id", "left_semi").where(seam("r") | seam("c"))
+    seen = scatter(seams.select(*PIXEL), EIGHT if connectivity == 2 else FOUR)
+    apart = lambda x: F.expr(f"{x} div {tile} <> from_{x} div {tile}")
+    at = lambda a, b, name: seams.select("image_id", F.col("r").alias(a), F.col("c").alias(b), F.col("label").alias(name))
+    both = seen.where(apart("r") | apart("c")).join(at("r", "c", "a"), list(PIXEL)).join(at("from_r", "from_c", "b"), ["image_id", "from_r", "from_c"])
+    edges = stored(both.select(F.col("image_id").alias("g"), "a", "b").distinct())
+    joined = least_labels(edges.select("g", F.col("a").alias("n")).distinct(), edges)
+    least = joined.select(F.col("g").alias("image_id"), F.col("n").alias("label"), F.col("label").alias("least"))
+    return own.join(least, ["image_id", "label"], "left").select(*PIXEL, F.coalesce("least", "label").alias("label"))
 
 
 def areas(labels: DataFrame) -> DataFrame:
