@@ -20,6 +20,9 @@ from thalweg.operators.raster import EIGHT, FOUR, PIXEL, inside, on_edge, scatte
 #: Rows and columns of an image that a task labels at once.
 TILE = 512
 
+#: Cells of the images that a task sorts, on average.
+PART = 1 << 17
+
 #: Rows of an image that the second pass of distances takes at once.
 ROWS = 32
 
@@ -49,6 +52,12 @@ def least_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
         first = False
 
 
+def spread(df: DataFrame, images: DataFrame, *keys: str) -> DataFrame:
+    """df by keys over as many tasks as the images' cells need: pixels take hardly any room in a shuffle, so tasks sized by bytes grow with the input."""
+    cells = images.agg(F.sum(F.col("nrows").cast("long") * F.col("ncols"))).first()[0] or 0
+    return df.repartition(int(cells // PART) + 1, *keys)
+
+
 def tile_labels(r: np.ndarray, c: np.ndarray, connectivity: int) -> np.ndarray:
     """For each pixel the place in r and c of its component's first pixel, by row and column."""
     width = int(c.max()) - int(c.min()) + 3
@@ -84,7 +93,8 @@ def label(pixels: DataFrame, images: DataFrame, connectivity: int = 2, tile: int
 
     kind = dict(pixels.dtypes)
     schema = f"image_id {kind['image_id']}, r int, c int, ncols int, label long"
-    own = stored(sized.groupBy("image_id", F.expr(f"r div {tile}"), F.expr(f"c div {tile}")).applyInPandas(work, schema))
+    tiled = sized.withColumns({"tr": F.expr(f"r div {tile}"), "tc": F.expr(f"c div {tile}")})
+    own = stored(spread(tiled, images, "image_id", "tr", "tc").groupBy("image_id", "tr", "tc").applyInPandas(work, schema))
     flat = lambda r, c: F.col(r).cast("long") * F.col("ncols") + F.col(c)
     large = images.where((F.col("nrows") > tile) | (F.col("ncols") > tile)).select("image_id")
     if not large.limit(1).count():
@@ -180,12 +190,12 @@ def distances(pixels: DataFrame, images: DataFrame) -> DataFrame:
     """
     rows = images.select("image_id", "nrows", "ncols", F.explode(F.sequence(F.lit(0), F.col("nrows") - 1)).alias("r"))
     every = rows.select("image_id", "ncols", "r", F.explode(F.sequence(F.lit(0), F.col("ncols") - 1)).alias("c"))
-    every = every.join(pixels.select(*PIXEL, F.lit(1).alias("on")), list(PIXEL), "left")
+    every = spread(every.join(pixels.select(*PIXEL, F.lit(1).alias("on")), list(PIXEL), "left"), images, "image_id", "c")
     off_r = F.when(F.col("on").isNull(), F.col("r"))
     down = Window.partitionBy("image_id", "c").orderBy("r")
     up = Window.partitionBy("image_id", "c").orderBy(F.desc("r"))
     far = F.least(F.coalesce(F.col("r") - F.max(off_r).over(down), F.lit(1 << 20)), F.coalesce(F.min(off_r).over(up) - F.col("r"), F.lit(1 << 20)))
-    first = every.select(*PIXEL, "on", far.cast("double").alias("far"))
+    first = spread(every.select(*PIXEL, "on", far.cast("double").alias("far"), F.expr(f"r div {ROWS}").alias("rows")), images, "image_id", "rows")
 
     def along_rows(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["r", "c"])
@@ -202,7 +212,7 @@ def distances(pixels: DataFrame, images: DataFrame) -> DataFrame:
         out["d"] = np.where(d >= float(1 << 40), np.nan, np.sqrt(d))
         return out[frame["on"].notna().to_numpy()]
 
-    found = first.groupBy("image_id", F.expr(f"r div {ROWS}")).applyInPandas(along_rows, "image_id long, r int, c int, d double")
+    found = first.groupBy("image_id", "rows").applyInPandas(along_rows, "image_id long, r int, c int, d double")
     return found.withColumn("d", F.nanvl("d", F.lit(None).cast("double")))
 
 
