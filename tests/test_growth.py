@@ -94,3 +94,21 @@ def test_components_take_few_jobs(spark, tmp_path):
     jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("label")
     spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert len(jobs) < 12
+
+
+def test_distances_spread_by_cells(spark):
+    """Tasks are as many as cells need, however few bytes the cells take."""
+    from thalweg.operators import regions
+
+    images = spark.range(8).selectExpr("id AS image_id", "1000 AS nrows", "1000 AS ncols")
+    df = regions.spread(spark.range(10).withColumnRenamed("id", "image_id"), images, "image_id")
+    assert df.rdd.getNumPartitions() == 8_000_000 // regions.PART + 1
+
+
+def test_weights_are_made_once():
+    from thalweg.operators import series
+
+    series.savgol_weights.cache_clear()
+    for _ in range(5):
+        series.savgol(np.arange(30.0), 7, 3)
+    assert series.savgol_weights.cache_info().misses == 1

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import inf
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -61,16 +63,28 @@ def offset(lines: DataFrame, distance: float) -> DataFrame:
 
 def warp(a: np.ndarray, b: np.ndarray) -> list[tuple[int, int]]:
     """The cheapest alignment of two signals that moves forward in both (dynamic time warping)."""
-    cost = np.full((len(a) + 1, len(b) + 1), np.inf)
-    cost[0, 0] = 0
-    gap = np.abs(a[:, None] - b[None, :])
-    for i in range(1, len(a) + 1):
-        for j in range(1, len(b) + 1):
-            cost[i, j] = gap[i - 1, j - 1] + min(cost[i - 1, j - 1], cost[i - 1, j], cost[i, j - 1])
+    before = [0.0] + [inf] * len(b)
+    steps = []  # 0: both went on, 1: a did, 2: b did
+    others = [float(y) for y in b]
+    for x in map(float, a):
+        row, step, left, corner = [inf], bytearray(), inf, before[0]
+        for y, up in zip(others, before[1:], strict=True):
+            best, way = corner, 0
+            if up < best:
+                best, way = up, 1
+            if left < best:
+                best, way = left, 2
+            left = abs(x - y) + best
+            corner = up
+            row.append(left)
+            step.append(way)
+        steps.append(step)
+        before = row
     path, i, j = [], len(a), len(b)
     while i and j:
         path.append((i - 1, j - 1))
-        i, j = min(((i - 1, j - 1), (i - 1, j), (i, j - 1)), key=lambda x: cost[x])
+        way = steps[i - 1][j - 1]
+        i, j = i - (way != 2), j - (way != 1)
     return path[::-1]
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import lru_cache
 from math import pi
 
 import numpy as np
@@ -77,6 +78,7 @@ def resample(lines: DataFrame, n: int) -> DataFrame:
     return seg.select("series_id", F.col("k").cast("int").alias("seq"), (F.col("x") + at * (F.col("x1") - F.col("x"))).alias("x"), (F.col("y") + at * (F.col("y1") - F.col("y"))).alias("y"))
 
 
+@lru_cache(maxsize=1024)
 def savgol_weights(window: int, order: int) -> np.ndarray:
     """Weights, by place of the smoothed value within the window, of a least-squares polynomial: a window x window matrix."""
     half = window // 2
