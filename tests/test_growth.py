@@ -112,3 +112,29 @@ def test_weights_are_made_once():
     for _ in range(5):
         series.savgol(np.arange(30.0), 7, 3)
     assert series.savgol_weights.cache_info().misses == 1
+
+
+def _small_file_of_cells(spark, path, n=200_000):
+    """Cells that take hardly any room in a file, as a table by itself of which Spark knows only that."""
+    spark.range(n).selectExpr("id div 40000 AS image_id", "cast(id div 200 % 200 AS int) AS r", "cast(id % 200 AS int) AS c").write.parquet(path)
+    return spark.read.parquet(path), spark.createDataFrame([(i, 200, 200) for i in range(n // 40000)], "image_id long, nrows int, ncols int")
+
+
+@pytest.mark.parametrize("name", ["remove_blobs", "largest_blobs", "values_of", "perimeter_pixels", "fill_holes", "surrounding"])
+def test_cells_are_not_sent_to_the_driver(spark, tmp_path, name):
+    """However small its file, no table of cells or of components is a broadcast."""
+    from pyspark.sql import functions as F
+
+    from thalweg.operators import regions
+
+    every, images = _small_file_of_cells(spark, str(tmp_path / "cells"))
+    on = every.where("r % 5 <> 2 OR c % 4 <> 3")
+    if name in ("fill_holes", "surrounding"):
+        holes = regions.holes(on, images)
+        df = regions.fill_holes(on, images, 4) if name == "fill_holes" else regions.surrounding(on, regions.stored(holes), images, on.withColumn("link_id", F.col("r")))
+    else:
+        labels = regions.stored(regions.label(on, images, 1))
+        more = {"remove_blobs": [4], "largest_blobs": [2], "values_of": [every.withColumn("v", F.lit(1.0))], "perimeter_pixels": []}[name]
+        df = getattr(regions, name)(labels, *more)
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    assert df.count() and plan.count("BroadcastHashJoin") == (name == "surrounding")  # that is of the images' sizes

@@ -9,13 +9,14 @@ into a task, and an image of one tile takes no round.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from thalweg.operators.raster import EIGHT, FOUR, PIXEL, inside, on_edge, scatter
+from thalweg.operators.raster import EIGHT, FOUR, PIXEL, inside, offset_array, on_edge, scatter
 
 #: Rows and columns of an image that a task labels at once.
 TILE = 512
@@ -36,17 +37,22 @@ def stored(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dealt(df: DataFrame) -> DataFrame:
+    """df as a side of a join that shuffles both: cells take so little room in a file that Spark would send them all through the driver to every executor; the images' sizes, a row for each, are what is sent."""
+    return df.hint("merge")
+
+
 def least_labels(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (g, n) with label: the least n of each component of edges (g, a, b), given in both directions, within a group g."""
     edges = stored(edges.select("g", "a", "b"))
     labels = nodes.select("g", "n", F.col("n").alias("label"), F.col("n").alias("was"))
     first = True
     while True:
-        beside = edges.join(labels.select("g", F.col("n").alias("b"), "label"), ["g", "b"]).groupBy("g", "a").agg(F.min("label").alias("m"))
-        near = labels.join(beside.withColumnRenamed("a", "n"), ["g", "n"], "left").select("g", "n", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("label"))
+        beside = edges.join(dealt(labels.select("g", F.col("n").alias("b"), "label")), ["g", "b"]).groupBy("g", "a").agg(F.min("label").alias("m"))
+        near = labels.join(dealt(beside.withColumnRenamed("a", "n")), ["g", "n"], "left").select("g", "n", F.col("label").alias("was"), F.least("label", F.coalesce("m", "label")).alias("label"))
         near = stored(near)
         up = near.select("g", F.col("n").alias("label"), F.col("label").alias("next"))
-        labels = stored(near.join(up, ["g", "label"]).select("g", "n", F.col("next").alias("label"), "was"))
+        labels = stored(near.join(dealt(up), ["g", "label"]).select("g", "n", F.col("next").alias("label"), "was"))
         if not first and not labels.where("label <> was").limit(1).count():
             return labels.select("g", "n", "label")
         first = False
@@ -84,31 +90,36 @@ def tile_labels(r: np.ndarray, c: np.ndarray, connectivity: int) -> np.ndarray:
 
 def label(pixels: DataFrame, images: DataFrame, connectivity: int = 2, tile: int = TILE) -> DataFrame:
     """image_id, r, c, label: components of on-pixels; a label is its component's least flat index. connectivity 1: sides; 2: corners too."""
-    sized = pixels.select(*PIXEL).join(images.select("image_id", "ncols"), "image_id")
+    return sized_labels(pixels, images, connectivity, tile).select(*PIXEL, "label")
+
+
+def sized_labels(pixels: DataFrame, images: DataFrame, connectivity: int, tile: int = TILE) -> DataFrame:
+    """As label, with the image's nrows and ncols at every pixel, so that none has to meet its image again."""
+    sized = pixels.select(*PIXEL).join(F.broadcast(images.select("image_id", "nrows", "ncols")), "image_id")
 
     def work(frame: pd.DataFrame) -> pd.DataFrame:
-        r, c, ncols = (frame[x].to_numpy() for x in ("r", "c", "ncols"))
+        r, c, nrows, ncols = (frame[x].to_numpy() for x in ("r", "c", "nrows", "ncols"))
         first = tile_labels(r, c, connectivity)
-        return pd.DataFrame({"image_id": frame["image_id"], "r": r, "c": c, "ncols": ncols, "label": (r.astype("int64") * ncols + c)[first]})
+        return pd.DataFrame({"image_id": frame["image_id"], "r": r, "c": c, "nrows": nrows, "ncols": ncols, "label": (r.astype("int64") * ncols + c)[first]})
 
     kind = dict(pixels.dtypes)
-    schema = f"image_id {kind['image_id']}, r int, c int, ncols int, label long"
+    schema = f"image_id {kind['image_id']}, r int, c int, nrows int, ncols int, label long"
     tiled = sized.withColumns({"tr": F.expr(f"r div {tile}"), "tc": F.expr(f"c div {tile}")})
     own = stored(spread(tiled, images, "image_id", "tr", "tc").groupBy("image_id", "tr", "tc").applyInPandas(work, schema))
     flat = lambda r, c: F.col(r).cast("long") * F.col("ncols") + F.col(c)
     large = images.where((F.col("nrows") > tile) | (F.col("ncols") > tile)).select("image_id")
     if not large.limit(1).count():
-        return own.select(*PIXEL, "label")
+        return own
     seam = lambda x: (F.col(x) % tile == 0) | (F.col(x) % tile == tile - 1)
     seams = own.join(large, "image_id", "left_semi").where(seam("r") | seam("c"))
     seen = scatter(seams.select(*PIXEL), EIGHT if connectivity == 2 else FOUR)
     apart = lambda x: F.expr(f"{x} div {tile} <> from_{x} div {tile}")
-    at = lambda a, b, name: seams.select("image_id", F.col("r").alias(a), F.col("c").alias(b), F.col("label").alias(name))
+    at = lambda a, b, name: dealt(seams.select("image_id", F.col("r").alias(a), F.col("c").alias(b), F.col("label").alias(name)))
     both = seen.where(apart("r") | apart("c")).join(at("r", "c", "a"), list(PIXEL)).join(at("from_r", "from_c", "b"), ["image_id", "from_r", "from_c"])
     edges = stored(both.select(F.col("image_id").alias("g"), "a", "b").distinct())
     joined = least_labels(edges.select("g", F.col("a").alias("n")).distinct(), edges)
     least = joined.select(F.col("g").alias("image_id"), F.col("n").alias("label"), F.col("label").alias("least"))
-    return own.join(least, ["image_id", "label"], "left").select(*PIXEL, F.coalesce("least", "label").alias("label"))
+    return own.join(dealt(least), ["image_id", "label"], "left").withColumn("label", F.coalesce("least", "label")).drop("least")
 
 
 def areas(labels: DataFrame) -> DataFrame:
@@ -150,6 +161,12 @@ def values_of(labels: DataFrame, cells: DataFrame) -> DataFrame:
     return labels.join(cells, list(PIXEL)).groupBy("image_id", "label").agg(F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("greatest"))
 
 
+def seen_from(labels: DataFrame, offsets: Iterable[Sequence[int]]) -> DataFrame:
+    """image_id, r, c of the cells from which a labelled pixel is seen at an offset, with its label, from_r and from_c."""
+    many = labels.select(*PIXEL, "label", F.explode(offset_array(offsets)).alias("o"))
+    return many.select("image_id", (F.col("r") - F.col("o.dr")).alias("r"), (F.col("c") - F.col("o.dc")).alias("c"), "label", F.col("r").alias("from_r"), F.col("c").alias("from_c"))
+
+
 def perimeter_pixels(labels: DataFrame) -> DataFrame:
     """Per blob its pixels with a side toward another blob or off, and how many such sides there are."""
     seen = scatter(labels.select(*PIXEL), FOUR).select(*PIXEL, "from_r", "from_c")
@@ -164,14 +181,14 @@ def complement(pixels: DataFrame, images: DataFrame) -> DataFrame:
     """Off-cells."""
     rows = images.select("image_id", "ncols", F.explode(F.sequence(F.lit(0), F.col("nrows") - 1)).alias("r"))
     every = rows.select("image_id", "r", F.explode(F.sequence(F.lit(0), F.col("ncols") - 1)).alias("c"))
-    return every.join(pixels.select(*PIXEL), list(PIXEL), "left_anti")
+    return every.join(dealt(pixels.select(*PIXEL)), list(PIXEL), "left_anti")
 
 
 def holes(pixels: DataFrame, images: DataFrame, connectivity: int = 1) -> DataFrame:
     """image_id, r, c, label of the components of off-cells that don't reach the border."""
-    off = label(complement(pixels, images), images, connectivity)
-    border = off.join(images.select("image_id", "nrows", "ncols"), "image_id").where(on_edge())
-    return off.join(border.select("image_id", "label").distinct(), ["image_id", "label"], "left_anti")
+    off = sized_labels(complement(pixels, images), images, connectivity)
+    border = off.where(on_edge()).select("image_id", "label").distinct()
+    return off.select(*PIXEL, "label").join(dealt(border), ["image_id", "label"], "left_anti")
 
 
 def fill_holes(pixels: DataFrame, images: DataFrame, most: int = 0) -> DataFrame:
@@ -190,7 +207,7 @@ def distances(pixels: DataFrame, images: DataFrame) -> DataFrame:
     """
     rows = images.select("image_id", "nrows", "ncols", F.explode(F.sequence(F.lit(0), F.col("nrows") - 1)).alias("r"))
     every = rows.select("image_id", "ncols", "r", F.explode(F.sequence(F.lit(0), F.col("ncols") - 1)).alias("c"))
-    every = spread(every.join(pixels.select(*PIXEL, F.lit(1).alias("on")), list(PIXEL), "left"), images, "image_id", "c")
+    every = spread(every.join(dealt(pixels.select(*PIXEL, F.lit(1).alias("on"))), list(PIXEL), "left"), images, "image_id", "c")
     off_r = F.when(F.col("on").isNull(), F.col("r"))
     down = Window.partitionBy("image_id", "c").orderBy("r")
     up = Window.partitionBy("image_id", "c").orderBy(F.desc("r"))
@@ -243,8 +260,8 @@ def islands(pixels: DataFrame, images: DataFrame, pixlen: float = 1.0) -> DataFr
     found = stored(holes(pixels, images, connectivity=2))
     shape = moments(found)
     d = distances(found.select(*PIXEL), images)
-    wide = found.join(d, list(PIXEL)).groupBy("image_id", "label").agg((2 * F.max("d") * pixlen).alias("max_width"))
-    return shape.join(wide, ["image_id", "label"]).select(
+    wide = found.join(dealt(d), list(PIXEL)).groupBy("image_id", "label").agg((2 * F.max("d") * pixlen).alias("max_width"))
+    return shape.join(dealt(wide), ["image_id", "label"]).select(
         "image_id", "label", (F.col("area") * pixlen * pixlen).alias("area"), (F.col("major_axis") * pixlen).alias("major_axis"),
         (F.col("minor_axis") * pixlen).alias("minor_axis"), "max_width", "centroid_r", "centroid_c",
     )
@@ -262,11 +279,9 @@ def surrounding(pixels: DataFrame, found: DataFrame, images: DataFrame, link_cel
 
     The water around an island is the on-pixels within the ring that reaches its links: here those that touch it.
     """
-    seen = scatter(found.select(*PIXEL), EIGHT)
-    ring = inside(seen.select(*PIXEL, "from_r", "from_c"), images)
-    own = found.select("image_id", F.col("r").alias("from_r"), F.col("c").alias("from_c"), "label")
-    touched = ring.join(own, ["image_id", "from_r", "from_c"]).join(pixels.select(*PIXEL), list(PIXEL), "left_semi").select(*PIXEL, "label").distinct()
-    with_links = touched.join(link_cells.select(*PIXEL, "link_id"), list(PIXEL), "left")
+    ring = seen_from(found, EIGHT).select(*PIXEL, "label").distinct()
+    touched = ring.join(dealt(inside(pixels.select(*PIXEL), F.broadcast(images))), list(PIXEL), "left_semi")
+    with_links = touched.join(dealt(link_cells.select(*PIXEL, "link_id")), list(PIXEL), "left")
     return with_links.groupBy("image_id", "label").agg(F.countDistinct("r", "c").alias("ring_area"), F.sort_array(F.collect_set("link_id")).alias("link_ids"))
 
 
