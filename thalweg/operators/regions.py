@@ -128,7 +128,7 @@ def areas(labels: DataFrame) -> DataFrame:
 
 def remove_blobs(labels: DataFrame, least: int) -> DataFrame:
     """Pixels of blobs of at least `least` pixels."""
-    return labels.join(areas(labels).where(F.col("area") >= least), ["image_id", "label"], "left_semi").select(*PIXEL)
+    return labels.join(dealt(areas(labels).where(F.col("area") >= least)), ["image_id", "label"], "left_semi").select(*PIXEL)
 
 
 def largest_blobs(labels: DataFrame, n: int = 1, action: str = "keep") -> DataFrame:
