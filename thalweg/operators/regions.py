@@ -135,7 +135,7 @@ def largest_blobs(labels: DataFrame, n: int = 1, action: str = "keep") -> DataFr
     """Pixels of each image's n largest blobs (of equal areas the least label first), or of the others."""
     rank = F.row_number().over(Window.partitionBy("image_id").orderBy(F.desc("area"), "label"))
     top = areas(labels).withColumn("k", rank).where(F.col("k") <= n)
-    return labels.join(top, ["image_id", "label"], "left_semi" if action == "keep" else "left_anti").select(*PIXEL)
+    return labels.join(dealt(top), ["image_id", "label"], "left_semi" if action == "keep" else "left_anti").select(*PIXEL)
 
 
 def moments(labels: DataFrame) -> DataFrame:
