@@ -169,10 +169,8 @@ def seen_from(labels: DataFrame, offsets: Iterable[Sequence[int]]) -> DataFrame:
 
 def perimeter_pixels(labels: DataFrame) -> DataFrame:
     """Per blob its pixels with a side toward another blob or off, and how many such sides there are."""
-    seen = scatter(labels.select(*PIXEL), FOUR).select(*PIXEL, "from_r", "from_c")
     near = labels.select(*PIXEL, F.col("label").alias("there"))
-    own = labels.select("image_id", F.col("r").alias("from_r"), F.col("c").alias("from_c"), "label")
-    sides = seen.join(near, list(PIXEL), "left").join(own, ["image_id", "from_r", "from_c"]).where("there IS NULL OR there <> label")
+    sides = seen_from(labels, FOUR).join(dealt(near), list(PIXEL), "left").where("there IS NULL OR there <> label")
     per = sides.groupBy("image_id", "label", "from_r", "from_c").agg(F.count("*").alias("n"))
     return per.groupBy("image_id", "label").agg(F.count("*").alias("perimeter_pixels"), F.sum("n").alias("perimeter_sides"))
 
