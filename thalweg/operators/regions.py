@@ -158,7 +158,7 @@ def moments(labels: DataFrame) -> DataFrame:
 
 def values_of(labels: DataFrame, cells: DataFrame) -> DataFrame:
     """Per blob the mean, least and greatest value of its cells."""
-    return labels.join(cells, list(PIXEL)).groupBy("image_id", "label").agg(F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("greatest"))
+    return labels.join(dealt(cells), list(PIXEL)).groupBy("image_id", "label").agg(F.avg("v").alias("mean"), F.min("v").alias("least"), F.max("v").alias("greatest"))
 
 
 def seen_from(labels: DataFrame, offsets: Iterable[Sequence[int]]) -> DataFrame:
