@@ -193,7 +193,7 @@ def fill_holes(pixels: DataFrame, images: DataFrame, most: int = 0) -> DataFrame
     """With the holes of up to `most` cells filled; 0 fills all."""
     found = holes(pixels, images)
     if most:
-        found = found.join(areas(found).where(F.col("area") <= most), ["image_id", "label"], "left_semi")
+        found = found.join(dealt(areas(found).where(F.col("area") <= most)), ["image_id", "label"], "left_semi")
     return pixels.select(*PIXEL).unionByName(found.select(*PIXEL))
 
 
