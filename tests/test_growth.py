@@ -138,3 +138,18 @@ def test_cells_are_not_sent_to_the_driver(spark, tmp_path, name):
         df = getattr(regions, name)(labels, *more)
     plan = df._jdf.queryExecution().sparkPlan().toString()
     assert df.count() and plan.count("BroadcastHashJoin") == (name == "surrounding")  # that is of the images' sizes
+
+
+def test_many_networks_take_few_calls(spark):
+    """Networks of a few links go through Python together: each has its own rows, over the limits of batches, and no frame of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        df = spark.range(300).selectExpr("id div 5 AS net_id", "id % 5 AS link_id", "id AS u", "id + 1 AS v").unionByName(spark.range(40).selectExpr("1000L AS net_id", "id AS link_id", "id AS u", "id AS v"))
+        calls = directions._together(df, ["net_id"], lambda own: [(own["net_id"][0], len(own["u"]), sum(own["u"]))], "net_id long, n long, s long").collect()
+        assert sorted(map(tuple, calls)) == [(k, 5, sum(range(5 * k, 5 * k + 5))) for k in range(60)] + [(1000, 40, 780)]
+        none = directions._together(df, ["net_id"], lambda own: [], "net_id long, n long, s long")
+        assert none.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    links = df.where("net_id < 1000")
+    assert "FlatMapGroupsInPandas" not in directions.cycles(links)._jdf.queryExecution().sparkPlan().toString()

@@ -30,7 +30,7 @@ def parallel(links: DataFrame) -> DataFrame:
 
 def flip(links: DataFrame, link_ids: DataFrame) -> DataFrame:
     """Links with the ends of those in link_ids (net_id, link_id) exchanged."""
-    marked = links.join(link_ids.select("net_id", "link_id").distinct().withColumn("_flip", F.lit(True)), ["net_id", "link_id"], "left")
+    marked = links.join(link_ids.select("net_id", "link_id").distinct().withColumn("_flip", F.lit(True)).hint("merge"), ["net_id", "link_id"], "left")
     turned = F.col("_flip").isNotNull()
     return marked.withColumns({"u": F.when(turned, F.col("v")).otherwise(F.col("u")), "v": F.when(turned, F.col("u")).otherwise(F.col("v"))}).select(*links.columns)
 
