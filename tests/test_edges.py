@@ -4,8 +4,9 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from thalweg.operators import series, spatial
+from thalweg.operators import regions, series, spatial
 from thalweg.plans import directions as plan
+from thalweg.plans import regions as regions_plan
 
 
 def test_points_on_edges_are_in_no_cell(spark):
@@ -57,3 +58,25 @@ def test_entropy_of_many_links(spark):
     total = fsum(wid)
     want = 2 ** -fsum(w / total * log2(w / total) for w in wid)
     assert got[0].bi == n and got[0].ebi == pytest.approx(want, rel=2e-14)
+
+
+def test_moments_at_ties_of_rounding(spark, tmp_path):
+    """Blobs whose squared eccentricity is 87/128 and 51/128, a tie at its sixth digit: rounded as the SQL does."""
+    on = {(36, 1), (38, 0), (38, 1), (36, 0), (38, 2), (37, 0), (35, 0), (37, 1)} | {(46, 19), (46, 20), (46, 18), (44, 20), (46, 21), (44, 18), (45, 18), (44, 19)}
+    rows = ", ".join(f"({r}, {[float((r, c) in on) for c in range(64)]}::FLOAT[])" for r in range(50))
+    duckdb.sql(f"COPY (SELECT vec_id::BIGINT AS vec_id, embedding FROM (VALUES {rows}) AS t(vec_id, embedding)) TO '{tmp_path}/embeddings.parquet'")
+    query, sql = regions_plan.QUERIES["blob_moments"]
+    df = query(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    got = sorted(tuple(r) for r in df.collect())
+    assert got == sorted(con.sql(f"SELECT {', '.join(df.columns)} FROM ({sql})").fetchall())
+    assert [r[df.columns.index("eccentricity2")] for r in got] == [0.679688, 0.398438]
+
+
+def test_moments_far_from_the_origin(spark):
+    """Second moments are those of the same blob at the origin, at places whose squares fill a long."""
+    far = 2_000_000_000
+    labels = spark.createDataFrame([(0, r + d, c + d, d) for d in (0, far) for r, c in ((0, 0), (0, 1), (0, 2), (1, 1), (2, 1))], "image_id long, r int, c int, label long")
+    axes = [(r.major_axis, r.minor_axis, r.eccentricity) for r in regions.moments(labels).collect()]
+    assert len(axes) == 2 and axes[0] == axes[1]

@@ -140,6 +140,35 @@ def test_cells_are_not_sent_to_the_driver(spark, tmp_path, name):
     assert df.count() and plan.count("BroadcastHashJoin") == (name == "surrounding")  # that is of the images' sizes
 
 
+def _broadcast_rows(spark, work):
+    """Rows of each broadcast of all queries that work runs, those of its steps too."""
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    store = spark._jsparkSession.sharedState().statusStore()
+    ids = lambda: {e.executionId() for every in [store.executionsList()] for e in map(every.apply, range(every.size()))}
+    before = ids()
+    work()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    rows = []
+    for i in ids() - before:
+        nodes, values = store.planGraph(i).allNodes(), store.executionMetrics(i)
+        for node in (nodes.apply(k) for k in range(nodes.size())):
+            for m in (node.metrics().apply(k) for k in range(node.metrics().size())):
+                if node.name().startswith("BroadcastExchange") and m.name() == "number of output rows" and values.contains(m.accumulatorId()):
+                    rows.append(int(values.apply(m.accumulatorId()).replace(",", "")))
+    return rows
+
+
+@pytest.mark.parametrize("name", ["moments"])
+def test_only_images_are_sent_with_components(spark, tmp_path, name):
+    """From cells in a small file to their blobs no broadcast has more than a row for each image."""
+    from thalweg.operators import regions
+
+    every, images = _small_file_of_cells(spark, str(tmp_path / "cells"))
+    on = every.where("r % 5 <> 2 OR c % 4 <> 3")
+    rows = _broadcast_rows(spark, lambda: getattr(regions, name)(regions.label(on, images, 1)).write.format("noop").mode("overwrite").save())
+    assert rows and max(rows) <= images.count()
+
+
 def test_many_networks_take_few_calls(spark):
     """Networks of a few links go through Python together: each has its own rows, over the limits of batches, and no frame of its own."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)

@@ -139,19 +139,26 @@ def largest_blobs(labels: DataFrame, n: int = 1, action: str = "keep") -> DataFr
 
 
 def moments(labels: DataFrame) -> DataFrame:
-    """Per blob: area, centroid, axes of the ellipse with its second moments, eccentricity, equivalent diameter, extent."""
+    """Per blob: area, centroid, axes of the ellipse with its second moments, eccentricity and its square, equivalent diameter, extent.
+
+    Second moments are made of sums of whole numbers, which are the same in any order of the pixels.
+    """
+    r, c = F.col("r").cast("long"), F.col("c").cast("long")
+    whole = lambda x: F.sum(x.cast("decimal(19,0)"))
     g = labels.groupBy("image_id", "label").agg(
         F.count("*").alias("area"), F.avg("r").alias("centroid_r"), F.avg("c").alias("centroid_c"),
-        F.covar_pop("r", "r").alias("rr"), F.covar_pop("c", "c").alias("cc"), F.covar_pop("r", "c").alias("rc"),
+        F.sum(r).alias("sr"), F.sum(c).alias("sc"), whole(r * r).alias("srr"), whole(c * c).alias("scc"), whole(r * c).alias("src"),
         F.min("r").alias("min_r"), F.max("r").alias("max_r"), F.min("c").alias("min_c"), F.max("c").alias("max_c"),
     )
-    rr, cc = F.col("rr") + 1 / 12, F.col("cc") + 1 / 12  # of a pixel itself
-    mid, spread = (rr + cc) / 2, F.sqrt(((rr - cc) / 2) ** 2 + F.col("rc") ** 2)
+    n = lambda x: F.col(x).cast("decimal(19,0)")
+    covariance = lambda ab, a, b: (n("area") * F.col(ab) - n(a) * n(b)).cast("double") / F.col("area").cast("double") ** 2
+    rr, cc, rc = covariance("srr", "sr", "sr") + 1 / 12, covariance("scc", "sc", "sc") + 1 / 12, covariance("src", "sr", "sc")  # 1 / 12: of a pixel itself
+    mid, spread = (rr + cc) / 2, F.sqrt(((rr - cc) / 2) ** 2 + rc**2)
     big, small = mid + spread, F.greatest(mid - spread, F.lit(0.0))
     return g.select(
         "image_id", "label", "area", "centroid_r", "centroid_c", "min_r", "max_r", "min_c", "max_c",
         (4 * F.sqrt(big)).alias("major_axis"), (4 * F.sqrt(small)).alias("minor_axis"),
-        F.sqrt(1 - small / big).alias("eccentricity"), F.sqrt(4 * F.col("area") / F.pi()).alias("equivalent_diameter"),
+        F.sqrt(1 - small / big).alias("eccentricity"), (1 - small / big).alias("eccentricity2"), F.sqrt(4 * F.col("area") / F.pi()).alias("equivalent_diameter"),
         (F.col("area") / ((F.col("max_r") - F.col("min_r") + 1) * (F.col("max_c") - F.col("min_c") + 1))).alias("extent"),
     )
 

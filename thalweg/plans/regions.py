@@ -60,7 +60,7 @@ h AS (SELECT *, (rr + cc) / 2 + sqrt(pow((rr - cc) / 2, 2) + rc * rc) AS big, gr
 SELECT image_id, label, area, round(centroid_r, 6) AS centroid_r, round(centroid_c, 6) AS centroid_c, min_r, max_r, min_c, max_c, round(4 * sqrt(big), 6) AS major_axis, round(4 * sqrt(small), 6) AS minor_axis,
   round(sqrt(4 * area / pi()), 6) AS equivalent_diameter, round(area / ((max_r - min_r + 1) * (max_c - min_c + 1)), 6) AS extent, round(pow(1 - small / big, 1), 6) AS eccentricity2 FROM h""")
 def blob_moments(spark, sf):
-    m = op.moments(px_components(spark, sf)).withColumn("eccentricity2", F.col("eccentricity") ** 2).drop("eccentricity")
+    m = op.moments(px_components(spark, sf)).drop("eccentricity")
     return m.withColumns({c: F.round(c, 6) for c, t in m.dtypes if t == "double"})
 
 
