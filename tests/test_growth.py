@@ -158,7 +158,7 @@ def _broadcast_rows(spark, work):
     return rows
 
 
-@pytest.mark.parametrize("name", ["moments"])
+@pytest.mark.parametrize("name", ["moments", "areas"])
 def test_only_images_are_sent_with_components(spark, tmp_path, name):
     """From cells in a small file to their blobs no broadcast has more than a row for each image."""
     from thalweg.operators import regions
